@@ -1,0 +1,78 @@
+"""Dense global positions without a single-task sort of the data.
+
+`row_number()` over an unpartitioned window pulls every row into one task. Instead the
+order is described by nested levels, each an order-preserving coarsening of the next
+(count, then id prefix, then longer id prefix, ...). Counting the rows of the earlier
+siblings at every level gives each leaf its first position; only the rows of one leaf
+are numbered together. No sampling is involved, so the result is the same under any
+partitioning and after any task retry.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+ID_PREFIXES = (3, 6)
+
+
+@dataclass(frozen=True)
+class Level:
+    """One nested ordering key: its value and direction."""
+
+    value: Column
+    descending: bool = False
+
+
+def prefix_levels(column: str, lengths: Sequence[int] = ID_PREFIXES) -> list[Level]:
+    """Fixed-length prefixes of a text id; longer prefixes refine shorter ones."""
+    return [Level(F.substring(F.col(column), 1, n)) for n in lengths]
+
+
+def global_rank(
+    df: DataFrame,
+    levels: Sequence[Level],
+    order_by: Sequence[Column],
+    name: str = "rank",
+) -> DataFrame:
+    """df plus a 1-based dense position in (levels, order_by) order."""
+    cols = [f"_l{i}" for i in range(len(levels))]
+    work = df.withColumns({c: lv.value for c, lv in zip(cols, levels)})
+
+    # Sizes per nested key, finest first; every table is aggregated from the finer one.
+    sizes = {len(cols): work.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))}
+    for depth in range(len(cols) - 1, 0, -1):
+        sizes[depth] = (
+            sizes[depth + 1].groupBy(*cols[:depth]).agg(F.sum("_n").alias("_n"))
+        )
+
+    first = None
+    for depth in range(1, len(cols) + 1):
+        key = F.col(cols[depth - 1])
+        # The window holds one parent's children. At depth 1 that is the list of
+        # distinct top-level keys (short prefixes or distinct counts), never the rows.
+        siblings = (
+            W.partitionBy(*cols[: depth - 1])
+            .orderBy(key.desc() if levels[depth - 1].descending else key.asc())
+            .rowsBetween(W.unboundedPreceding, -1)
+        )
+        offset = sizes[depth].select(
+            *cols[:depth],
+            F.coalesce(F.sum("_n").over(siblings), F.lit(0)).alias("_offset"),
+        )
+        if first is None:
+            first = offset.withColumnRenamed("_offset", "_first")
+        else:
+            first = first.join(offset, cols[: depth - 1], "inner").select(
+                *cols[:depth], (F.col("_first") + F.col("_offset")).alias("_first")
+            )
+    within = W.partitionBy(*cols).orderBy(*order_by)
+    return (
+        work.join(first, cols, "inner")
+        .withColumn(name, F.col("_first") + F.row_number().over(within))
+        .drop(*cols, "_first")
+    )
