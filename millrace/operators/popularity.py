@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions.ranks import Level, global_rank, prefix_levels
@@ -15,6 +16,12 @@ def instant(at: datetime) -> Column:
     return F.lit(at).cast("timestamp_ntz")
 
 
+def day_start(at: datetime) -> datetime:
+    """Day-grain bound: an event on the split's own date is not history. Written on the
+    timestamp, not on its date, so that the scan can use it."""
+    return datetime(at.year, at.month, at.day)
+
+
 def before(events: DataFrame, at: datetime) -> DataFrame:
     """Review events strictly earlier than `at`; the bound on year prunes partitions."""
     return events.filter(
@@ -24,28 +31,24 @@ def before(events: DataFrame, at: datetime) -> DataFrame:
     )
 
 
-def popularity_rank(events: DataFrame, dim: DataFrame, at: datetime) -> DataFrame:
-    """Every catalog item, zero-count ones included, by (count desc, id asc).
-
-    Day grain: an event on the split's own date is not history.
-    """
+def catalog_counts(events: DataFrame, dim: DataFrame, at: datetime) -> DataFrame:
+    """(business_id, name, pre_t_reviews) for the whole catalog, zero counts included."""
     counted = (
-        events.filter(
-            (F.col("event_type") == REVIEW)
-            & (F.col("year") <= at.year)
-            & (F.to_date("ts") < F.lit(at.date()))
-        )
+        before(events, day_start(at))
         .groupBy("business_id")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    ranked = dim.select("business_id", F.coalesce("name", F.lit("")).alias("name")).join(
-        counted, "business_id", "left"
-    )
-    ranked = ranked.select(
-        "business_id", "name", F.coalesce("n", F.lit(0)).alias("pre_t_reviews")
+    return (
+        dim.select("business_id", F.coalesce("name", F.lit("")).alias("name"))
+        .join(counted, "business_id", "left")
+        .select("business_id", "name", F.coalesce("n", F.lit(0)).alias("pre_t_reviews"))
     )
+
+
+def popularity_rank(events: DataFrame, dim: DataFrame, at: datetime) -> DataFrame:
+    """Every catalog item by (count desc, id asc), with its position."""
     levels = [Level(F.col("pre_t_reviews"), descending=True), *prefix_levels("business_id")]
-    return global_rank(ranked, levels, [F.col("business_id")])
+    return global_rank(catalog_counts(events, dim, at), levels, [F.col("business_id")])
 
 
 def popularity_pool(events: DataFrame, at: datetime, size: int = POOL_SIZE) -> DataFrame:
@@ -68,8 +71,6 @@ def popularity_pool(events: DataFrame, at: datetime, size: int = POOL_SIZE) -> D
 
 def number_short_list(df: DataFrame, order: list[Column], name: str, size: int) -> DataFrame:
     """Positions 1..n of a list whose length is bounded by a setting, not by the data."""
-    from pyspark.sql import Window as W
-
     return df.withColumn(name, F.row_number().over(W.orderBy(*order))).filter(
         F.col(name) <= size
     )
