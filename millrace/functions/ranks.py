@@ -17,6 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millrace.functions.hot import HOT_ROWS, hot_keys
+from millrace.functions.timegrain import segment
+
 ID_PREFIXES = (3, 6)
 
 
@@ -33,6 +36,21 @@ def prefix_levels(column: str, lengths: Sequence[int] = ID_PREFIXES) -> list[Lev
     return [Level(F.substring(F.col(column), 1, n)) for n in lengths]
 
 
+def with_segments(df: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """df (user_id, ts, ...) plus _part: a time segment for hot users, 0 for all others."""
+    hot = hot_keys(df, ["user_id"], hot_rows).withColumn("_hot", F.lit(True))
+    return (
+        df.join(F.broadcast(hot), "user_id", "left")
+        .withColumn("_part", F.when(F.col("_hot"), segment(F.col("ts"))).otherwise(0))
+        .drop("_hot")
+    )
+
+
+def user_time_levels() -> list[Level]:
+    """Levels of the order (user_id, ts, ...) for rows prepared by with_segments."""
+    return [*prefix_levels("user_id"), Level(F.col("user_id")), Level(F.col("_part"))]
+
+
 def global_rank(
     df: DataFrame,
     levels: Sequence[Level],

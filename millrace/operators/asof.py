@@ -5,9 +5,10 @@ instant. The work is split in two: first only the matching state *timestamp* is
 over narrow rows, then the state's payload is fetched by an equi-join on (key, ts). Wide
 payloads such as vectors never travel through the sort.
 
-The timestamp search runs inside (key, time segment), so the history of a hot key is
-spread over its segments. A probe whose segment holds no earlier state takes the last
-state of the preceding segments, carried along a table with one row per (key, segment).
+The timestamp search is a running maximum per key. The rows of a hot key are searched
+inside (key, time segment) instead, so its history spreads over its segments; a probe
+whose segment holds no earlier state takes the last state of the preceding segments,
+carried along a table with one row per (hot key, segment).
 """
 
 from __future__ import annotations
@@ -19,37 +20,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millrace.functions.hot import HOT_ROWS, hot_keys, split_hot
 from millrace.functions.timegrain import DEFAULT_GRAIN, segment
 from millrace.operators.popularity import instant
 
 
 def asof_times(
-    probes: DataFrame, state: DataFrame, keys: Sequence[str], grain: str = DEFAULT_GRAIN
+    probes: DataFrame,
+    state: DataFrame,
+    keys: Sequence[str],
+    grain: str = DEFAULT_GRAIN,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """(keys, ts, state_ts) for every distinct probe; state_ts is NULL without history."""
     keys = list(keys)
     rows = (
         probes.select(*keys, "ts")
         .distinct()
-        .select(*keys, "ts", F.lit(0).alias("_kind"))
-        .unionByName(state.select(*keys, "ts", F.lit(1).alias("_kind")))
-        .withColumn("_seg", segment(F.col("ts"), grain))
-        .withColumn("_at", F.when(F.col("_kind") == 1, F.col("ts")))
+        .withColumn("_at", F.lit(None).cast("timestamp_ntz"))
+        .unionByName(state.select(*keys, "ts", F.col("ts").alias("_at")))
     )
-    # At one instant the probe sorts before the state row, which makes the bound strict.
+    ordinary, heavy = split_hot(rows, hot_keys(rows, keys, hot_rows))
+    # At one instant the probe (NULL) sorts before the state row: the bound is strict.
+    search = F.max("_at").over(
+        W.partitionBy(*keys)
+        .orderBy("ts", F.asc_nulls_first("_at"))
+        .rowsBetween(W.unboundedPreceding, 0)
+    )
+    found = ordinary.withColumn("state_ts", search).filter(F.col("_at").isNull())
+    return found.select(*keys, "ts", "state_ts").unionByName(
+        _segmented_times(heavy, keys, grain)
+    )
+
+
+def _segmented_times(rows: DataFrame, keys: list[str], grain: str) -> DataFrame:
+    pieces = rows.withColumn("_seg", segment(F.col("ts"), grain))
     inside = (
         W.partitionBy(*keys, "_seg")
-        .orderBy("ts", "_kind")
+        .orderBy("ts", F.asc_nulls_first("_at"))
         .rowsBetween(W.unboundedPreceding, 0)
     )
-    local = rows.select(
-        *keys, "_seg", "ts", "_kind", F.max("_at").over(inside).alias("_local")
-    ).filter(F.col("_kind") == 0)
-    before = W.partitionBy(*keys).orderBy("_seg").rowsBetween(W.unboundedPreceding, -1)
+    local = pieces.withColumn("_local", F.max("_at").over(inside)).filter(F.col("_at").isNull())
+    earlier = W.partitionBy(*keys).orderBy("_seg").rowsBetween(W.unboundedPreceding, -1)
     carry = (
-        rows.groupBy(*keys, "_seg")
+        pieces.groupBy(*keys, "_seg")
         .agg(F.max("_at").alias("_last"))
-        .select(*keys, "_seg", F.max("_last").over(before).alias("_carry"))
+        .select(*keys, "_seg", F.max("_last").over(earlier).alias("_carry"))
     )
     return local.join(carry, [*keys, "_seg"], "inner").select(
         *keys, "ts", F.coalesce("_local", "_carry").alias("state_ts")
@@ -63,10 +79,11 @@ def asof_lookup(
     values: Sequence[str],
     how: str = "left",
     grain: str = DEFAULT_GRAIN,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """(keys, ts, state_ts, values) once per distinct probe."""
     keys = list(keys)
-    matched = asof_times(probes, state, keys, grain)
+    matched = asof_times(probes, state, keys, grain, hot_rows)
     if how == "inner":
         matched = matched.filter(F.col("state_ts").isNotNull())
     payload = state.select(*keys, F.col("ts").alias("state_ts"), *values)
@@ -82,9 +99,10 @@ def asof_join(
     values: Sequence[str],
     how: str = "left",
     grain: str = DEFAULT_GRAIN,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Every query row with its as-of state; many queries may share one probe."""
-    found = asof_lookup(queries, state, keys, values, how, grain)
+    found = asof_lookup(queries, state, keys, values, how, grain, hot_rows)
     return queries.join(found, [*keys, "ts"], how)
 
 

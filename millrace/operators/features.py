@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ from millrace.operators.asof import asof_lookup, latest_state
 from millrace.operators.popularity import before
 from millrace.schema import ITEM_TOTALS, USER_TOTALS
 
+USER_GROUPS = {"user", "user_category", "user_als"}
+ITEM_GROUPS = {"item", "business", "item_als", "user_category"}
 _VALUES = {
     "user": (["user_id"], USER_TOTALS, "u"),
     "item": (["business_id"], ITEM_TOTALS, "i"),
@@ -113,73 +116,53 @@ def _prefixed(found: DataFrame, keys: Sequence[str], stamp: str, group: str) ->
     )
 
 
-class _AsOf:
-    """State strictly before each query's own instant."""
+def _scored(attached: DataFrame) -> DataFrame:
+    """Replace the two vectors by their inner product; NULL if either is absent."""
+    score = dot(F.col("uv_value"), F.col("iv_value"))
+    return attached.withColumn("v_score", score).drop("uv_value", "iv_value")
 
-    def __init__(self, store: Store, grain: str = DEFAULT_GRAIN) -> None:
-        self.store, self.grain = store, grain
 
-    def fetch(self, group: str, probes: DataFrame) -> tuple[DataFrame, list[str]]:
-        keys, values, _ = _VALUES[group]
-        # Vectors are needed in pairs, so unmatched probes drop out early.
-        how = "inner" if group.endswith("_als") else "left"
-        found = asof_lookup(
-            probes, self.store.group(group), keys, list(values), how, self.grain
-        )
-        keyed = [*keys, "ts"]
-        return _prefixed(found, keyed, "state_ts", group), keyed
+def _static(dim: DataFrame) -> DataFrame:
+    return dim.select(
+        "business_id",
+        F.col("latitude").alias("b_latitude"),
+        F.col("longitude").alias("b_longitude"),
+        F.col("price_tier").alias("b_price_tier"),
+    )
 
 
-class _Current:
-    """The published last state: identity joins, no time axis."""
+def _needs_vectors(groups: set[str]) -> bool:
+    return bool(groups & {"user_als", "item_als"})
 
-    def __init__(self, store: Store) -> None:
-        self.store = store
 
-    def fetch(self, group: str, probes: DataFrame) -> tuple[DataFrame, list[str]]:
-        keys = _VALUES[group][0]
-        return _prefixed(self.store.group(group), keys, "ts", group), list(keys)
+def _attach_asof(queries: DataFrame, store: Store, groups: set[str], grain: str) -> DataFrame:
+    """State strictly before each query's own instant."""
 
+    def fetch(group: str, probes: DataFrame) -> DataFrame:
+        keys, values, _ = _VALUES[group]
+        # Vectors are needed in pairs, so unmatched probes drop out early.
+        how = "inner" if group.endswith("_als") else "left"
+        found = asof_lookup(probes, store.group(group), keys, list(values), how, grain)
+        return _prefixed(found, [*keys, "ts"], "state_ts", group)
 
-def _attach(queries: DataFrame, source: _AsOf | _Current, groups: set[str]) -> DataFrame:
     out = queries
-    vectors = bool(groups & {"user_als", "item_als"})
-    if vectors:
-        found, keys = source.fetch("user_als", queries)
-        out = out.join(found.drop("uv_ts"), keys, "left")
+    if _needs_vectors(groups):
+        out = out.join(fetch("user_als", queries).drop("uv_ts"), ["user_id", "ts"], "left")
     if "user" in groups:
-        found, keys = source.fetch("user", queries)
-        out = out.join(found, keys, "left")
-    if vectors:
-        found, keys = source.fetch("item_als", queries)
-        # NULL vectors give a NULL score; the wide columns end here.
-        out = (
-            out.join(found.drop("iv_ts"), keys, "left")
-            .withColumn("v_score", dot(F.col("uv_value"), F.col("iv_value")))
-            .drop("uv_value", "iv_value")
-        )
+        out = out.join(fetch("user", queries), ["user_id", "ts"], "left")
+    if _needs_vectors(groups):
+        found = fetch("item_als", queries).drop("iv_ts")
+        out = _scored(out.join(found, ["business_id", "ts"], "left"))
     if "item" in groups:
-        found, keys = source.fetch("item", queries)
-        out = out.join(found, keys, "left")
+        out = out.join(fetch("item", queries), ["business_id", "ts"], "left")
     if "business" in groups:
-        dim = source.store.group("business")
-        out = out.join(
-            dim.select(
-                "business_id",
-                F.col("latitude").alias("b_latitude"),
-                F.col("longitude").alias("b_longitude"),
-                F.col("price_tier").alias("b_price_tier"),
-            ),
-            "business_id",
-            "left",
-        )
+        out = out.join(_static(store.group("business")), "business_id", "left")
     if "user_category" in groups:
         asks = queries.select("query_id", "user_id", "business_id", "ts").join(
-            st.item_categories(source.store.group("business")), "business_id"
+            st.item_categories(store.group("business")), "business_id"
         )
-        found, keys = source.fetch("user_category", asks)
         matched = (
-            asks.join(found, keys, "left")
+            asks.join(fetch("user_category", asks), ["user_id", "category", "ts"], "left")
             .groupBy("query_id")
             .agg(F.sum(F.coalesce("c_cum_count", F.lit(0))).alias("c_matched"))
         )
@@ -187,6 +170,59 @@ def _attach(queries: DataFrame, source: _AsOf | _Current, groups: set[str]) -> D
     return out
 
 
+def item_profile(store: Store, groups: set[str]) -> DataFrame:
+    """One row per item with everything the item side contributes at the current instant."""
+    parts = []
+    if "business" in groups:
+        static = _static(store.group("business"))
+        if "user_category" in groups:
+            listed = store.group("business").select(
+                "business_id", F.col("categories").alias("b_categories")
+            )
+            static = static.join(listed, "business_id")
+        parts.append(static)
+    for group in ("item", "item_als"):
+        if group in groups or (group == "item_als" and _needs_vectors(groups)):
+            parts.append(_prefixed(store.group(group), ["business_id"], "ts", group))
+    return _merged(parts, "business_id").drop("iv_ts")
+
+
+def user_profile(store: Store, groups: set[str]) -> DataFrame:
+    """One row per user: totals, taste (category -> count) and vector.
+
+    The taste map has one entry per category the user has touched, so it is bounded by
+    the catalog's category vocabulary, however many events the user has.
+    """
+    parts = []
+    for group in ("user", "user_als"):
+        if group in groups or (group == "user_als" and _needs_vectors(groups)):
+            parts.append(_prefixed(store.group(group), ["user_id"], "ts", group))
+    if "user_category" in groups:
+        entries = F.collect_list(F.struct("category", "cum_count"))
+        taste = store.group("user_category").groupBy("user_id").agg(
+            F.map_from_entries(entries).alias("c_counts")
+        )
+        parts.append(taste)
+    return _merged(parts, "user_id").drop("uv_ts")
+
+
+def _merged(parts: list[DataFrame], key: str) -> DataFrame:
+    return reduce(lambda a, b: a.join(b, key, "full"), parts)
+
+
+def _matched(groups: set[str], attached: DataFrame) -> DataFrame:
+    if _needs_vectors(groups):
+        attached = _scored(attached)
+    if "user_category" in groups:
+        total = F.aggregate(
+            "b_categories",
+            F.lit(0).cast("bigint"),
+            lambda n, c: n + F.coalesce(F.try_element_at("c_counts", c), F.lit(0)),
+        )
+        attached = attached.withColumn("c_matched", F.when(F.size("b_categories") > 0, total))
+    return attached
+
+
 def _project(attached: DataFrame, keep: Sequence[str], names: Sequence[str] | None) -> DataFrame:
     return attached.select(
         *keep, *[f.build().alias(f.name) for f in registry.resolve(names)]
@@ -201,7 +237,7 @@ def asof_features(
 ) -> DataFrame:
     """queries (query_id, user_id, business_id, ts, ...) plus features as of each ts."""
     groups = registry.required_groups(names)
-    return _project(_attach(queries, _AsOf(store, grain), groups), queries.columns, names)
+    return _project(_attach_asof(queries, store, groups, grain), queries.columns, names)
 
 
 def current_features(
@@ -210,12 +246,50 @@ def current_features(
     as_of: Column | datetime,
     names: Sequence[str] | None = None,
 ) -> DataFrame:
-    """The same features over current state, with one shared instant."""
+    """queries (user_id, business_id, ...) plus the same features over current state, at
+    one shared instant. Identity joins only: once by item, once by user."""
+    names = registry.online_features() if names is None else names
+    groups = registry.required_groups(names)
+    out = queries.withColumn("ts", _instant(as_of))
+    keep = out.columns
+    if groups & ITEM_GROUPS:
+        out = out.join(item_profile(store, groups), "business_id", "left")
+    if groups & USER_GROUPS:
+        out = out.join(user_profile(store, groups), "user_id", "left")
+    return _project(_matched(groups, out), keep, names)
+
+
+def shared_list_features(
+    users: DataFrame,
+    short_list: DataFrame,
+    size: int,
+    position: str,
+    store: Store,
+    as_of: Column | datetime,
+    names: Sequence[str] | None = None,
+) -> DataFrame:
+    """(user_id, short_list columns, ts, features) of every user against one short list.
+
+    The item side is joined to the list (at most `size` rows, a setting) and the user
+    side to the users, before the two meet. Slots 1..size then match list positions by a
+    broadcast equi-join, so candidates are produced where the user already is: no
+    candidate row is shuffled to obtain its features.
+    """
     names = registry.online_features() if names is None else names
-    at = F.lit(as_of).cast("timestamp_ntz") if isinstance(as_of, datetime) else as_of
-    asked = queries.withColumn("ts", at)
     groups = registry.required_groups(names)
-    return _project(_attach(asked, _Current(store), groups), asked.columns, names)
+    listed, asked = short_list, users.select("user_id")
+    if groups & ITEM_GROUPS:
+        listed = listed.join(item_profile(store, groups), "business_id", "left")
+    if groups & USER_GROUPS:
+        asked = asked.join(user_profile(store, groups), "user_id", "left")
+    slots = asked.withColumn(position, F.explode(F.sequence(F.lit(1), F.lit(size))))
+    out = slots.join(F.broadcast(listed), position).withColumn("ts", _instant(as_of))
+    keep = ["user_id", *short_list.columns, "ts"]
+    return _project(_matched(groups, out), keep, names)
+
+
+def _instant(as_of: Column | datetime) -> Column:
+    return F.lit(as_of).cast("timestamp_ntz") if isinstance(as_of, datetime) else as_of
 
 
 def get_asof(

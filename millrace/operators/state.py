@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.hot import HOT_ROWS, hot_keys
 from millrace.functions.running import running_totals
 from millrace.functions.timegrain import DEFAULT_GRAIN
 from millrace.schema import GEO_SCALE, ITEM_TOTALS, REVIEW, USER_TOTALS
@@ -62,9 +63,12 @@ def _in_place(names: Sequence[str]) -> dict[str, str]:
     return {name: name for name in names}
 
 
-def user_state(events: DataFrame, dim: DataFrame, grain: str = DEFAULT_GRAIN) -> DataFrame:
+def user_state(
+    events: DataFrame, dim: DataFrame, grain: str = DEFAULT_GRAIN, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     per_instant = _placed(events, dim).groupBy("user_id", "ts").agg(*_user_sums())
-    return running_totals(per_instant, ["user_id"], "ts", _in_place(USER_TOTALS), grain)
+    hot = hot_keys(_reviews(events), ["user_id"], hot_rows)
+    return running_totals(per_instant, ["user_id"], "ts", _in_place(USER_TOTALS), hot, grain)
 
 
 def user_totals(events: DataFrame, dim: DataFrame) -> DataFrame:
@@ -72,9 +76,12 @@ def user_totals(events: DataFrame, dim: DataFrame) -> DataFrame:
     return _placed(events, dim).groupBy("user_id").agg(F.max("ts").alias("ts"), *_user_sums())
 
 
-def item_state(events: DataFrame, grain: str = DEFAULT_GRAIN) -> DataFrame:
+def item_state(
+    events: DataFrame, grain: str = DEFAULT_GRAIN, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     per_instant = _reviews(events).groupBy("business_id", "ts").agg(*_item_sums())
-    return running_totals(per_instant, ["business_id"], "ts", _in_place(ITEM_TOTALS), grain)
+    hot = hot_keys(_reviews(events), ["business_id"], hot_rows)
+    return running_totals(per_instant, ["business_id"], "ts", _in_place(ITEM_TOTALS), hot, grain)
 
 
 def item_totals(events: DataFrame) -> DataFrame:
@@ -89,7 +96,7 @@ def item_categories(dim: DataFrame) -> DataFrame:
 
 
 def user_category_state(
-    events: DataFrame, dim: DataFrame, grain: str = DEFAULT_GRAIN
+    events: DataFrame, dim: DataFrame, grain: str = DEFAULT_GRAIN, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     # Collapse before exploding: repeats of one item at one instant explode once.
     per_item = (
@@ -102,8 +109,10 @@ def user_category_state(
         .groupBy("user_id", "category", "ts")
         .agg(F.sum("n").alias("cum_count"))
     )
+    # A (user, category) timeline is never longer than its user's.
+    hot = hot_keys(_reviews(events), ["user_id"], hot_rows)
     return running_totals(
-        per_instant, ["user_id", "category"], "ts", {"cum_count": "cum_count"}, grain
+        per_instant, ["user_id", "category"], "ts", {"cum_count": "cum_count"}, hot, grain
     )
 
 

@@ -9,8 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions.expressions import dot, hashed_draw
-from millrace.functions.ranks import Level, global_rank, prefix_levels
-from millrace.functions.timegrain import segment
+from millrace.functions.ranks import global_rank, user_time_levels, with_segments
 from millrace.operators.features import Store, asof_features, current_features
 from millrace.operators.popularity import before
 
@@ -142,14 +141,9 @@ def sampling_probability(
 def batches(examples: DataFrame, batch: int = BATCH) -> DataFrame:
     """(batch_id, slot, user_id, business_id): examples in (user, time, item) order, cut
     into batches."""
-    levels = [
-        *prefix_levels("user_id"),
-        Level(F.col("user_id")),
-        Level(segment(F.col("ts"))),
-    ]
     ranked = global_rank(
-        examples.select("user_id", "business_id", "ts"),
-        levels,
+        with_segments(examples.select("user_id", "business_id", "ts")),
+        user_time_levels(),
         [F.col("ts"), F.col("business_id")],
         "_n",
     )

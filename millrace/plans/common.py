@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import fields, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from millrace.functions import registry
 from millrace.operators.features import Store, build_store, store_before
 from millrace.schema import SPLIT_T
+from millrace.session import materialized
 from millrace.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,11 +27,25 @@ def fractional(names: Sequence[str] | None = None) -> list[str]:
 
 
 def full_store(spark: SparkSession, sf_dir: str) -> Store:
-    return build_store(
-        tables.events(spark, sf_dir),
-        tables.dim(spark, sf_dir),
-        tables.user_vectors(spark, sf_dir),
-        tables.item_vectors(spark, sf_dir),
+    """Every timeline, materialised before it is read: the reads use each group several
+    times and rely on its written order and size."""
+    return stored(
+        build_store(
+            materialized(tables.events(spark, sf_dir), "events"),
+            materialized(tables.dim(spark, sf_dir), "dim"),
+            tables.user_vectors(spark, sf_dir),
+            tables.item_vectors(spark, sf_dir),
+        )
+    )
+
+
+def stored(store: Store) -> Store:
+    groups = {
+        f.name: getattr(store, f.name) for f in fields(store) if f.name != "dim"
+    }
+    return replace(
+        store,
+        **{name: materialized(df, name) for name, df in groups.items() if df is not None},
     )
 
 

@@ -20,6 +20,7 @@ from millrace.plans.oracle_base import (
     with_relations,
 )
 from millrace.schema import SPLIT_T, USER_TOTALS
+from millrace.session import scratch
 from millrace.sources import tables
 
 QUERIES: dict[str, Query] = {}
@@ -173,7 +174,7 @@ def materialize_state(spark, sf):
         "item": state.item_state(events),
         "user_category": state.user_category_state(events, dim),
     }
-    return state.write_states(states, snapshot.scratch(spark, "state"))
+    return state.write_states(states, scratch(spark, "state"))
 
 
 @register(
@@ -312,7 +313,7 @@ FROM (SELECT max(ts) AS max_ts FROM ev)"""
     ),
 )
 def publish_snapshot(spark, sf):
-    root = snapshot.scratch(spark, "online")
+    root = scratch(spark, "online")
     snapshot.publish(
         root,
         full_store(spark, sf),

@@ -14,9 +14,10 @@ from millrace.operators import als, evaluation, ledger, ranking, rerank, retriev
 from millrace.operators import interactions as ix
 from millrace.operators import popularity as pop
 from millrace.operators import training as tr
-from millrace.operators.features import build_store
+from millrace.operators.features import Store
 from millrace.operators.scoring import FIXED_SCORER, train_ranker
 from millrace.operators.snapshot import reviewed_history
+from millrace.operators.state import user_state
 from millrace.plans import funnel
 from millrace.plans.common import Query, fractional, full_store, rounded, split_store
 from millrace.plans.oracle_base import (
@@ -27,6 +28,7 @@ from millrace.plans.oracle_base import (
     with_relations,
 )
 from millrace.schema import POOL_SIZE, SLICE_YEARS, SPLIT_T, TOP_K, VALIDATION_START
+from millrace.session import materialized
 from millrace.sources import tables
 
 QUERIES: dict[str, Query] = {}
@@ -347,7 +349,9 @@ FROM examples""",
 
 def _examples(spark, sf):
     events, dim = tables.events(spark, sf), tables.dim(spark, sf)
-    return tower.two_tower_examples(events, dim, build_store(events, dim), SPLIT_T)
+    # The tower's inputs read the user timeline only.
+    users = Store(user=materialized(user_state(events, dim), "user"))
+    return tower.two_tower_examples(events, dim, users, SPLIT_T)
 
 
 @register(
@@ -381,7 +385,7 @@ FROM examples CROSS JOIN fitted""",
     ),
 )
 def user_normalization(spark, sf):
-    examples = _examples(spark, sf)
+    examples = materialized(_examples(spark, sf), "examples")
     out = tower.normalized_user_inputs(examples, tower.user_normalization(examples))
     return rounded(out.select("user_id", "business_id", "ts", *NORMALIZED), NORMALIZED)
 
@@ -457,7 +461,7 @@ USING (item_idx)""",
     ),
 )
 def known_positive_mask(spark, sf):
-    rows = tower.batches(_example_rows(spark, sf))
+    rows = materialized(tower.batches(_example_rows(spark, sf)), "batches")
     items = ix.item_index(tables.dim(spark, sf))
     return tower.known_positive_mask(
         rows, tower.batch_candidates(rows, items), _pairs(spark, sf)
@@ -568,8 +572,9 @@ def positives(spark, sf):
 
 @register("sample_negatives", with_relations("SELECT * FROM neg", POSITIVES, NEGATIVES_SQL))
 def sample_negatives(spark, sf):
-    pool = _pool(spark, sf)
-    return tr.pool_negatives(tr.positives(tables.events(spark, sf), pool, SPLIT_T), pool)
+    pool = materialized(_pool(spark, sf), "pool")
+    groups = materialized(tr.positives(tables.events(spark, sf), pool, SPLIT_T), "groups")
+    return tr.pool_negatives(groups, pool)
 
 
 @register(
@@ -644,8 +649,8 @@ SELECT CASE WHEN ts < TIMESTAMP '1999-01-01' THEN 'train' ELSE 'validation' END
     ),
 )
 def temporal_split(spark, sf):
-    pool = _pool(spark, sf)
-    groups = tr.positives(tables.events(spark, sf), pool, SPLIT_T)
+    pool = materialized(_pool(spark, sf), "pool")
+    groups = materialized(tr.positives(tables.events(spark, sf), pool, SPLIT_T), "groups")
     columns = ["group_id", "ts"]
     rows = groups.select(*columns).unionByName(tr.pool_negatives(groups, pool).select(*columns))
     return tr.temporal_split(rows, VALIDATION_START, SPLIT_T)
@@ -1010,7 +1015,7 @@ UNION ALL SELECT 'retired run', n_users, metric, value FROM metrics WHERE name =
     ),
 )
 def eval_ledger(spark, sf):
-    measured = _evaluated(spark, sf)
+    measured = materialized(_evaluated(spark, sf), "measured")
     columns = ["name", "n_users", "metric", "value"]
 
     def run(source: str, name: str, shift: int = 0) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -63,3 +64,20 @@ def checkpointed(df):
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def scratch(spark: SparkSession, purpose: str) -> str:
+    """A fresh folder under the shared one."""
+    return f"{shared_dir(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def materialized(df, purpose: str):
+    """Write df once as a table in the shared folder and continue from that table.
+
+    For results that several branches of a plan read: each is computed once, the plan
+    stays small, the planner knows the table's size, and a lost executor costs a re-read
+    rather than a replay.
+    """
+    path = scratch(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
