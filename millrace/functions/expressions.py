@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from millrace.schema import EARTH_RADIUS_KM
+from millrace.schema import EARTH_RADIUS_KM, VECTOR_WIDTH
 
 
 def haversine_km(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
@@ -18,13 +20,25 @@ def haversine_km(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Colu
     return 2 * EARTH_RADIUS_KM * F.asin(F.sqrt(chord))
 
 
-def dot(left: Column, right: Column) -> Column:
-    """Inner product in double precision; NULL if either vector is."""
-    return F.aggregate(
+def dot(left: Column, right: Column, width: int = VECTOR_WIDTH) -> Column:
+    """Inner product in double precision; NULL if either vector is.
+
+    Vectors of the expected width take a sum written out element by element, which is
+    compiled in small pieces; any other width takes the interpreted lambda form. (The
+    lambda also keeps the written-out sum out of one whole-stage method, where it would
+    be too long for the JVM to compile.)
+    """
+    terms = [
+        F.get(left, F.lit(i)).cast("double") * F.get(right, F.lit(i)).cast("double")
+        for i in range(width)
+    ]
+    general = F.aggregate(
         F.zip_with(left, right, lambda a, b: a.cast("double") * b.cast("double")),
         F.lit(0.0),
         lambda total, x: total + x,
     )
+    expected = (F.size(left) == width) & (F.size(right) == width)
+    return F.when(expected, reduce(lambda a, b: a + b, terms)).otherwise(general)
 
 
 def hashed_draw(parts: list[Column], size: Column) -> Column:

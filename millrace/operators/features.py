@@ -20,7 +20,7 @@ from millrace.functions.timegrain import DEFAULT_GRAIN
 from millrace.operators import state as st
 from millrace.operators.asof import asof_lookup, latest_state
 from millrace.operators.popularity import before
-from millrace.schema import ITEM_TOTALS, USER_TOTALS
+from millrace.schema import ITEM_TOTALS, USER_TOTALS, VECTOR_WIDTH
 
 USER_GROUPS = {"user", "user_category", "user_als"}
 ITEM_GROUPS = {"item", "business", "item_als", "user_category"}
@@ -43,6 +43,7 @@ class Store:
     dim: DataFrame | None = None
     user_als: DataFrame | None = None
     item_als: DataFrame | None = None
+    vector_width: int = VECTOR_WIDTH
 
     def group(self, name: str) -> DataFrame:
         found = self.dim if name == "business" else getattr(self, name)
@@ -81,6 +82,7 @@ def current_store(store: Store, at: datetime | None = None) -> Store:
         dim=store.dim,
         user_als=last("user_als"),
         item_als=last("item_als"),
+        vector_width=store.vector_width,
     )
 
 
@@ -116,9 +118,9 @@ def _prefixed(found: DataFrame, keys: Sequence[str], stamp: str, group: str) ->
     )
 
 
-def _scored(attached: DataFrame) -> DataFrame:
+def _scored(attached: DataFrame, width: int) -> DataFrame:
     """Replace the two vectors by their inner product; NULL if either is absent."""
-    score = dot(F.col("uv_value"), F.col("iv_value"))
+    score = dot(F.col("uv_value"), F.col("iv_value"), width)
     return attached.withColumn("v_score", score).drop("uv_value", "iv_value")
 
 
@@ -152,7 +154,7 @@ def _attach_asof(queries: DataFrame, store: Store, groups: set[str], grain: str)
         out = out.join(fetch("user", queries), ["user_id", "ts"], "left")
     if _needs_vectors(groups):
         found = fetch("item_als", queries).drop("iv_ts")
-        out = _scored(out.join(found, ["business_id", "ts"], "left"))
+        out = _scored(out.join(found, ["business_id", "ts"], "left"), store.vector_width)
     if "item" in groups:
         out = out.join(fetch("item", queries), ["business_id", "ts"], "left")
     if "business" in groups:
@@ -210,9 +212,9 @@ def _merged(parts: list[DataFrame], key: str) -> DataFrame:
     return reduce(lambda a, b: a.join(b, key, "full"), parts)
 
 
-def _matched(groups: set[str], attached: DataFrame) -> DataFrame:
+def _matched(groups: set[str], attached: DataFrame, store: Store) -> DataFrame:
     if _needs_vectors(groups):
-        attached = _scored(attached)
+        attached = _scored(attached, store.vector_width)
     if "user_category" in groups:
         total = F.aggregate(
             "b_categories",
@@ -256,7 +258,7 @@ def current_features(
         out = out.join(item_profile(store, groups), "business_id", "left")
     if groups & USER_GROUPS:
         out = out.join(user_profile(store, groups), "user_id", "left")
-    return _project(_matched(groups, out), keep, names)
+    return _project(_matched(groups, out, store), keep, names)
 
 
 def shared_list_features(
@@ -282,10 +284,14 @@ def shared_list_features(
         listed = listed.join(item_profile(store, groups), "business_id", "left")
     if groups & USER_GROUPS:
         asked = asked.join(user_profile(store, groups), "user_id", "left")
+    # Few, small user rows grow `size`-fold here, so they are spread by number, which
+    # adaptive execution leaves alone; the later per-user ordering reuses the layout.
+    width = int(users.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = asked.repartition(width, "user_id")
     slots = asked.withColumn(position, F.explode(F.sequence(F.lit(1), F.lit(size))))
     out = slots.join(F.broadcast(listed), position).withColumn("ts", _instant(as_of))
     keep = ["user_id", *short_list.columns, "ts"]
-    return _project(_matched(groups, out), keep, names)
+    return _project(_matched(groups, out, store), keep, names)
 
 
 def _instant(as_of: Column | datetime) -> Column:

@@ -41,7 +41,9 @@ def full_store(spark: SparkSession, sf_dir: str) -> Store:
 
 def stored(store: Store) -> Store:
     groups = {
-        f.name: getattr(store, f.name) for f in fields(store) if f.name != "dim"
+        f.name: getattr(store, f.name)
+        for f in fields(store)
+        if f.name not in ("dim", "vector_width")
     }
     return replace(
         store,
