@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,8 +21,6 @@ from millrace.operators.asof import asof_lookup, latest_state
 from millrace.operators.popularity import before
 from millrace.schema import ITEM_TOTALS, USER_TOTALS, VECTOR_WIDTH
 
-USER_GROUPS = {"user", "user_category", "user_als"}
-ITEM_GROUPS = {"item", "business", "item_als", "user_category"}
 _VALUES = {
     "user": (["user_id"], USER_TOTALS, "u"),
     "item": (["business_id"], ITEM_TOTALS, "i"),
@@ -124,12 +121,13 @@ def _scored(attached: DataFrame, width: int) -> DataFrame:
     return attached.withColumn("v_score", score).drop("uv_value", "iv_value")
 
 
-def _static(dim: DataFrame) -> DataFrame:
+def _static(dim: DataFrame, *extra: Column) -> DataFrame:
     return dim.select(
         "business_id",
         F.col("latitude").alias("b_latitude"),
         F.col("longitude").alias("b_longitude"),
         F.col("price_tier").alias("b_price_tier"),
+        *extra,
     )
 
 
@@ -172,44 +170,41 @@ def _attach_asof(queries: DataFrame, store: Store, groups: set[str], grain: str)
     return out
 
 
-def item_profile(store: Store, groups: set[str]) -> DataFrame:
-    """One row per item with everything the item side contributes at the current instant."""
-    parts = []
+def _attach_items(df: DataFrame, store: Store, groups: set[str]) -> DataFrame:
+    """df plus everything the item side contributes at the current instant.
+
+    All joins share the key, so a df that has to be shuffled is shuffled once.
+    """
     if "business" in groups:
         static = _static(store.group("business"))
         if "user_category" in groups:
-            listed = store.group("business").select(
-                "business_id", F.col("categories").alias("b_categories")
-            )
-            static = static.join(listed, "business_id")
-        parts.append(static)
+            listed = F.col("categories").alias("b_categories")
+            static = _static(store.group("business"), listed)
+        df = df.join(static, "business_id", "left")
     for group in ("item", "item_als"):
         if group in groups or (group == "item_als" and _needs_vectors(groups)):
-            parts.append(_prefixed(store.group(group), ["business_id"], "ts", group))
-    return _merged(parts, "business_id").drop("iv_ts")
+            found = _prefixed(store.group(group), ["business_id"], "ts", group)
+            df = df.join(found, "business_id", "left")
+    return df.drop("iv_ts")
 
 
-def user_profile(store: Store, groups: set[str]) -> DataFrame:
-    """One row per user: totals, taste (category -> count) and vector.
+def _attach_users(df: DataFrame, store: Store, groups: set[str]) -> DataFrame:
+    """df plus the user side: totals, vector and taste (category -> count).
 
     The taste map has one entry per category the user has touched, so it is bounded by
     the catalog's category vocabulary, however many events the user has.
     """
-    parts = []
     for group in ("user", "user_als"):
         if group in groups or (group == "user_als" and _needs_vectors(groups)):
-            parts.append(_prefixed(store.group(group), ["user_id"], "ts", group))
+            found = _prefixed(store.group(group), ["user_id"], "ts", group)
+            df = df.join(found, "user_id", "left")
     if "user_category" in groups:
         entries = F.collect_list(F.struct("category", "cum_count"))
         taste = store.group("user_category").groupBy("user_id").agg(
             F.map_from_entries(entries).alias("c_counts")
         )
-        parts.append(taste)
-    return _merged(parts, "user_id").drop("uv_ts")
-
-
-def _merged(parts: list[DataFrame], key: str) -> DataFrame:
-    return reduce(lambda a, b: a.join(b, key, "full"), parts)
+        df = df.join(taste, "user_id", "left")
+    return df.drop("uv_ts")
 
 
 def _matched(groups: set[str], attached: DataFrame, store: Store) -> DataFrame:
@@ -249,15 +244,12 @@ def current_features(
     names: Sequence[str] | None = None,
 ) -> DataFrame:
     """queries (user_id, business_id, ...) plus the same features over current state, at
-    one shared instant. Identity joins only: once by item, once by user."""
+    one shared instant. Identity joins only: first by item, then by user."""
     names = registry.online_features() if names is None else names
     groups = registry.required_groups(names)
     out = queries.withColumn("ts", _instant(as_of))
     keep = out.columns
-    if groups & ITEM_GROUPS:
-        out = out.join(item_profile(store, groups), "business_id", "left")
-    if groups & USER_GROUPS:
-        out = out.join(user_profile(store, groups), "user_id", "left")
+    out = _attach_users(_attach_items(out, store, groups), store, groups)
     return _project(_matched(groups, out, store), keep, names)
 
 
@@ -279,11 +271,8 @@ def shared_list_features(
     """
     names = registry.online_features() if names is None else names
     groups = registry.required_groups(names)
-    listed, asked = short_list, users.select("user_id")
-    if groups & ITEM_GROUPS:
-        listed = listed.join(item_profile(store, groups), "business_id", "left")
-    if groups & USER_GROUPS:
-        asked = asked.join(user_profile(store, groups), "user_id", "left")
+    listed = _attach_items(short_list, store, groups)
+    asked = _attach_users(users.select("user_id"), store, groups)
     # Few, small user rows grow `size`-fold here, so they are spread by number, which
     # adaptive execution leaves alone; the later per-user ordering reuses the layout.
     width = int(users.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -20,7 +20,7 @@ from millrace.plans.oracle_base import (
     with_relations,
 )
 from millrace.schema import SPLIT_T, USER_TOTALS
-from millrace.session import scratch
+from millrace.session import materialized, scratch
 from millrace.sources import tables
 
 QUERIES: dict[str, Query] = {}
@@ -208,7 +208,8 @@ def as_of_join(spark, sf):
     with_relations(f"SELECT query_id, {CAST_FEATURES} FROM feat", *asof_relations("qs")),
 )
 def as_of_features(spark, sf):
-    out = asof_features(tables.review_queries(spark, sf), full_store(spark, sf))
+    queries = materialized(tables.review_queries(spark, sf), "queries")
+    out = asof_features(queries, full_store(spark, sf))
     return rounded(out.select("query_id", *feature_names()), fractional())
 
 

@@ -776,8 +776,8 @@ USING (metric)""",
     ),
 )
 def rerank_ablation(spark, sf):
+    truth = materialized(_truth(spark, sf), "truth")
     lists = rerank.rerank_variants(_rerank_inputs(spark, sf), 50, rerank.ABLATION)
-    truth = _truth(spark, sf)
     hits = evaluation.list_hits(
         lists.withColumnRenamed("variant", "name"), truth, ["name"]
     )
