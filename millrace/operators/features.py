@@ -18,7 +18,7 @@ from millrace.functions.expressions import dot
 from millrace.functions.timegrain import DEFAULT_GRAIN
 from millrace.operators import state as st
 from millrace.operators.asof import asof_lookup, latest_state
-from millrace.operators.popularity import before
+from millrace.operators.popularity import before, instant
 from millrace.schema import ITEM_TOTALS, USER_TOTALS, VECTOR_WIDTH
 
 _VALUES = {
@@ -284,7 +284,7 @@ def shared_list_features(
 
 
 def _instant(as_of: Column | datetime) -> Column:
-    return F.lit(as_of).cast("timestamp_ntz") if isinstance(as_of, datetime) else as_of
+    return instant(as_of) if isinstance(as_of, datetime) else as_of
 
 
 def get_asof(
@@ -300,6 +300,6 @@ def get_asof(
         F.lit(1).cast("bigint").alias("query_id"),
         F.lit(user_id).alias("user_id"),
         F.lit(business_id).alias("business_id"),
-        F.lit(ts).cast("timestamp_ntz").alias("ts"),
+        instant(ts).alias("ts"),
     )
     return asof_features(query, store, [name]).select(F.col(name).alias("value"))

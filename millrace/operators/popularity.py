@@ -13,7 +13,9 @@ from millrace.schema import POOL_SIZE, REVIEW
 
 
 def instant(at: datetime) -> Column:
-    return F.lit(at).cast("timestamp_ntz")
+    """A zone-free literal. Written as text: a datetime literal would pass through the
+    driver's and the session's time zones."""
+    return F.lit(at.isoformat(" ")).cast("timestamp_ntz")
 
 
 def day_start(at: datetime) -> datetime:

@@ -276,6 +276,28 @@ def als_fit(spark, sf):
     )
 
 
+@register(
+    "als_fit_contract",
+    with_relations(
+        """
+SELECT 'user' AS side, user_id AS id, 64 AS width, false AS zero
+FROM (SELECT DISTINCT user_id FROM pairs)
+UNION ALL SELECT 'item', business_id, 64, business_id NOT IN (SELECT business_id FROM pairs)
+FROM dm""",
+        PAIRS_SQL,
+    ),
+)
+def als_fit_contract(spark, sf):
+    """What the learned factors promise whatever their values: who has one, its width,
+    and that exactly the untouched items are zero."""
+    return als_fit(spark, sf).select(
+        "side",
+        "id",
+        F.size("value").alias("width"),
+        F.forall("value", lambda x: x == 0).alias("zero"),
+    )
+
+
 @register("als_slices")
 def als_slices(spark, sf):
     boundaries = [datetime(y, 1, 1) for y in SLICE_YEARS]
