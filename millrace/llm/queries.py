@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, decontaminate, sharding
+from millrace.llm import chat, decontaminate, minhash, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,8 +77,14 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash.near_duplicates(docs, minhash.NearDup(width=4))
+
+
 QUERIES = {
     "op2_shard_placement": op2_shard_placement,
+    "op3_near_duplicates": op3_near_duplicates,
     "op5_chat_format": op5_chat_format,
     "op8_decontaminate": op8_decontaminate,
 }
