@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, decontaminate, minhash, sharding
+from millrace.llm import chat, decontaminate, language, minhash, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,11 +82,20 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(docs, minhash.NearDup(width=4))
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2
+    model = language.train(docs.filter(~held_out))
+    found = language.identify(docs.select("doc_id", "text"), model, keep=["doc_id"])
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op2_shard_placement": op2_shard_placement,
     "op3_near_duplicates": op3_near_duplicates,
     "op5_chat_format": op5_chat_format,
     "op8_decontaminate": op8_decontaminate,
+    "op10_language": op10_language,
 }
 
 ANSWERS = {
