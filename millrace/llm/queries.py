@@ -5,13 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, decontaminate, language, minhash, sharding
+from millrace.llm import chat, decontaminate, language, minhash, sharding, token_files
+from millrace.session import scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+END_ID = 2
+
+
+def tokenizer_file(name: str) -> str:
+    """Where the installed public tokenizers keep a file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = scratch(spark, "token-files")
+    token_files.write_tokens(docs, path, tokenizer_file("byte_bpe_50k.json"), END_ID)
+    return token_files.read_tokens(spark, path).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
+    )
+
+
 def op2_shard_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"])
 
@@ -91,6 +111,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_token_files": op1_token_files,
     "op2_shard_placement": op2_shard_placement,
     "op3_near_duplicates": op3_near_duplicates,
     "op5_chat_format": op5_chat_format,
