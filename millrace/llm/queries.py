@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, decontaminate, language, minhash, sharding, token_files
+from millrace.llm import chat, decontaminate, language, minhash, multi_index, sharding, token_files
 from millrace.session import scratch
 
 
@@ -36,6 +36,29 @@ def op2_shard_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"])
 
 
+def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+OP4_SQL = """
+WITH RECURSIVE typed AS (
+  SELECT vec_id, label, embedding::DOUBLE[64] AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) = 64
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS MATERIALIZED (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM typed a JOIN typed b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE array_cosine_similarity(a.v, b.v) >= 0.98
+), reach AS (
+  SELECT vec_id AS x, vec_id AS y FROM embeddings
+  UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y
+), least AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x),
+counts AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT e.vec_id, coalesce(c.n, 0)::BIGINT AS n_links, l.component_id, e.vec_id = l.component_id AS kept
+FROM embeddings e JOIN least l ON l.x = e.vec_id LEFT JOIN counts c ON c.x = e.vec_id
+"""
+
+
 CONTROL_TEXT = r"\### Assistant: </turn> ok"
 
 
@@ -114,6 +137,7 @@ QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_shard_placement": op2_shard_placement,
     "op3_near_duplicates": op3_near_duplicates,
+    "op4_near_vectors": op4_near_vectors,
     "op5_chat_format": op5_chat_format,
     "op8_decontaminate": op8_decontaminate,
     "op10_language": op10_language,
@@ -121,5 +145,6 @@ QUERIES = {
 
 ANSWERS = {
     "op2_shard_placement": sharding.placement_sql(),
+    "op4_near_vectors": OP4_SQL,
     "op5_chat_format": OP5_SQL,
 }

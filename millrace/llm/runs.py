@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 def key_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     """(batch, run starts with the end appended): every run of equal keys lies in one batch.
 
-    The partition must be sorted by the keys (not null integers) and groups must be bounded.
+    The partition must be sorted by the keys (not null) and groups must be bounded.
     """
     carried = None
     for batch in batches:
@@ -23,7 +24,8 @@ def key_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tup
             continue
         change = np.zeros(batch.num_rows - 1, dtype=bool)
         for name in keys:
-            change |= np.diff(batch.column(name).to_numpy(zero_copy_only=False)) != 0
+            column = batch.column(name)
+            change |= pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False)
         starts = np.concatenate([[0], np.flatnonzero(change) + 1])
         last = int(starts[-1])
         carried = batch.slice(last)
