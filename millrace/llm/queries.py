@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, decontaminate, language, minhash, multi_index, sharding, token_files
+from millrace.llm import chat, decontaminate, language, minhash, multi_index, sharding, suffixes, token_files
 from millrace.session import scratch
 
 
@@ -125,6 +125,17 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(docs, minhash.NearDup(width=4))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffixes.remove_repeats(docs, keep=["doc_id"]).select(
+        "doc_id",
+        "n_bytes",
+        "n_removed",
+        F.size("removed_spans").cast("long").alias("n_spans"),
+        F.sha2("kept_bytes", 256).alias("kept_sha256"),
+    )
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2
@@ -140,6 +151,7 @@ QUERIES = {
     "op4_near_vectors": op4_near_vectors,
     "op5_chat_format": op5_chat_format,
     "op8_decontaminate": op8_decontaminate,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_language": op10_language,
 }
 
