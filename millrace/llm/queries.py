@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, decontaminate, language, minhash, multi_index, sharding, suffixes, token_files
+from millrace.llm import chat, decontaminate, language, minhash, multi_index, pieces, sharding, suffixes, token_files
 from millrace.session import scratch
 
 
@@ -104,6 +104,30 @@ FROM rows_ GROUP BY conv_id
 """
 
 
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = tokenizer_file("piece_bpe_32k.model")
+    coded = pieces.encode_pieces(docs, model, keep=["doc_id", "text"])
+    back = pieces.decode_pieces(coded, model)
+    # Four little-endian bytes of each id, put together without leaving the JVM.
+    raw = F.unhex(
+        F.array_join(
+            F.transform(
+                "piece_ids",
+                lambda x: F.concat(*[F.lpad(F.hex(F.shiftright(x, 8 * k).bitwiseAND(255)), 2, "0") for k in range(4)]),
+            ),
+            "",
+        )
+    )
+    return back.select(
+        "doc_id",
+        F.size("piece_ids").cast("long").alias("n_pieces"),
+        F.crc32(raw).alias("ids_crc32"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"),
+    )
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = decontaminate.mark_contaminated(
         table(spark, sf_dir, "documents").select("doc_id", "text"),
@@ -150,6 +174,7 @@ QUERIES = {
     "op3_near_duplicates": op3_near_duplicates,
     "op4_near_vectors": op4_near_vectors,
     "op5_chat_format": op5_chat_format,
+    "op7_pieces": op7_pieces,
     "op8_decontaminate": op8_decontaminate,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_language": op10_language,
