@@ -1,17 +1,99 @@
-"""From raw documents to training ids: five stages, each one operator of millrace.llm."""
+"""From raw documents to training ids: five stages, each one operator of millrace.llm.
+
+A stage takes all documents its predecessor kept, as (spark, docs, sf_dir), and its decisions take
+effect: language ID and decontamination drop documents, near-dedup keeps one of each group,
+suffix dedup cuts repeated bytes out of the texts, and the last stage turns texts into piece ids.
+All but the last return the columns of `documents`.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.llm import decontaminate, language, minhash, pieces, suffixes
+from millrace.llm.queries import tokenizer_file
+from millrace.session import materialized
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a language (null, empty, no letter). Without any labelled
+    document nothing can be learned, and only these are dropped as well."""
+    labelled = docs.filter("lang is not null and text is not null")
+    if labelled.isEmpty():
+        return docs.filter(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
+    found = language.identify(docs.select(*COLUMNS), language.train(labelled))
+    return found.filter(F.col("lang_pred") != language.UNKNOWN).select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the least id of each near-duplicate group; of rows that repeat a
+    kept id, one. Documents with a null id or without words stay."""
+    decided = minhash.near_duplicates(docs)
+    dropped = decided.filter("doc_id is not null and not kept").select("doc_id").distinct()
+    left = docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+    return left.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.filter("doc_id is null"))
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts out every byte that the operator removes. A character that is cut in half goes; a null
+    text stays null; a text of which nothing is left stays as an empty text."""
+    cut = suffixes.remove_repeats(
+        docs.withColumn("__null", F.col("text").isNull()), keep=["doc_id", "lang", "source", "n_chars", "__null"]
+    )
+    left = F.col("kept_bytes").cast("string")
+    text = F.when(F.col("n_removed") == 0, left).otherwise(F.replace(F.make_valid_utf8(left), F.lit("\ufffd"), F.lit("")))
+    return cut.select(
+        "doc_id",
+        F.when(~F.col("__null"), text).alias("text"),
+        "lang",
+        "source",
+        F.when(F.col("__null"), F.col("n_chars")).otherwise(F.length(text).cast("long")).alias("n_chars"),
+    )
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops contaminated documents, leaves the others as they are."""
+    marked = decontaminate.mark_contaminated(
+        docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    )
+    return marked.filter(~F.col("contaminated")).select(*COLUMNS)
+
+
+def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of every text, checked by decoding: `exact` says whether they give it back."""
+    model = tokenizer_file("piece_bpe_32k.model")
+    coded = pieces.encode_pieces(docs.select("doc_id", "lang", "source", "text"), model)
+    back = pieces.decode_pieces(coded, model, keep=["doc_id", "lang", "source", "text", "piece_ids"])
+    return back.select(
+        "doc_id",
+        "lang",
+        "source",
+        F.size("piece_ids").cast("long").alias("n_pieces"),
+        "piece_ids",
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"),
+    )
+
 
-STAGES: list = []
+STAGES = [
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("suffix_dedup", suffix_dedup),
+    ("decontamination", decontamination),
+    ("piece_ids", piece_ids),
+]
 
 #: No SQL can express the learned language model or the piece encoder.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`; each one's result is written and read again, as a job would."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialized(docs, name)
     return docs

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, decontaminate, language, minhash, multi_index, pieces, sharding, suffixes, token_files
+from millrace.llm import chat, decontaminate, language, minhash, multi_index, passages, pieces, sharding, suffixes, token_files
 from millrace.session import scratch
 
 
@@ -104,6 +104,10 @@ FROM rows_ GROUP BY conv_id
 """
 
 
+def op6_near_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.near_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = tokenizer_file("piece_bpe_32k.model")
@@ -174,6 +178,7 @@ QUERIES = {
     "op3_near_duplicates": op3_near_duplicates,
     "op4_near_vectors": op4_near_vectors,
     "op5_chat_format": op5_chat_format,
+    "op6_near_passages": op6_near_passages,
     "op7_pieces": op7_pieces,
     "op8_decontaminate": op8_decontaminate,
     "op9_suffix_dedup": op9_suffix_dedup,
