@@ -5,9 +5,10 @@
 2. A class is posted under its `coordinates` (coordinate, value) pairs. Two classes that agree in
    at least `matches` coordinates must share one of their `coordinates - matches + 1` rarest
    pairs: pairs that occur once and the most frequent `matches - 1` of a class are skipped.
-3. In each posting list the class with the most shared signature is the centre; the others are
-   compared with it only. Collisions are counted on the signatures, survivors confirmed on the full
-   sets, links contracted to components.
+3. In a posting list the class with the most shared signature is the centre. Every class meets the
+   heaviest centre of its lists; then, in lists that still hold several components, the others meet
+   the list's own. Collisions are counted on the signatures, survivors confirmed on the full sets,
+   links contracted to components.
 4. Lists that still hold several components are merged exhaustively between components, in
    blocks: candidates are found on signatures, their groups are confirmed on full sets, and only
    a spanning forest leaves a task. Hot groups thus give few rows and lose no component.
@@ -29,18 +30,18 @@ from millrace.llm.runs import gathered, key_runs
 from millrace.session import materialized
 
 LIST_BLOCK = 256
-GROUP_BLOCK = 64
+GROUP_BLOCK = 256
 
 
 @dataclass(frozen=True)
 class NearDup:
     """A pair with similarity 0.8 agrees in 38.4 of 48 coordinates on average with a deviation
-    of 2.8, so 22 matches miss it with a chance below 1e-7."""
+    of 2.8, so 24 matches miss it with a chance below 1e-5."""
 
     width: int = 5
     percent: int = 80
     coordinates: int = 48
-    matches: int = 22
+    matches: int = 24
 
     def similar(self, a: np.ndarray, b: np.ndarray) -> bool:
         low, high = sorted((len(a), len(b)))
@@ -130,14 +131,14 @@ def _confirmer(rule: NearDup):
 
 
 def _list_merger(rule: NearDup):
-    """Candidate forests of (token, i, j) blocks: doc, comp, block and sig of each member."""
+    """Groups of candidates in (token, i, j) blocks, as (member, least member)."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, starts in key_runs(batches, ["token", "i", "j"]):
             doc, comp, block = (batch.column(c).to_numpy() for c in ("doc", "comp", "block"))
             cross = batch.column("i").to_numpy() != batch.column("j").to_numpy()
             sig = batch.column("sig").flatten().to_numpy().reshape(-1, rule.coordinates)
-            out_a, out_b = [], []
+            pairs: set[tuple[int, int]] = set()
             for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
                 left, right = [], []
                 for r in range(lo, hi - 1):
@@ -148,20 +149,31 @@ def _list_merger(rule: NearDup):
                         test = test[(sig[test] == sig[r]).sum(axis=1) >= rule.matches]
                         left += [r - lo] * len(test)
                         right += (test - lo).tolist()
-                kept = forest_rows(hi - lo, left, right)
-                out_a += [doc[lo + left[k]] for k in kept]
-                out_b += [doc[lo + right[k]] for k in kept]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"]
-            )
+                for member, least in _local_groups(doc[lo:hi], left, right):
+                    pairs.add((member, least))
+            a, b = zip(*pairs, strict=True) if pairs else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return merge
 
 
-def forest_rows(n: int, left: list[int], right: list[int]) -> list[int]:
+def _local_groups(docs: np.ndarray, left: list[int], right: list[int]) -> list[tuple[int, int]]:
+    """(member, least member) of the components of candidate pairs: the same star from every list
+    that holds the group, so that lists repeat each other's rows."""
     if not left:
         return []
-    return tx.forest(n, np.array(left), np.array(right)).tolist()
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    names = docs.tolist()
+    for x, y in zip(left, right, strict=True):
+        x, y = find(names[x]), find(names[y])
+        root[max(x, y)] = min(x, y)
+    return [(x, find(x)) for x in list(root) if find(x) != x]
 
 
 def _group_confirmer(rule: NearDup):
@@ -245,29 +257,55 @@ def near_duplicates(docs: DataFrame, rule: NearDup = NearDup(), doc_id: str = "d
     )
     sigs = reps.join(prefixes.select("doc").distinct(), "doc", "left_semi")
 
-    centres = (
-        prefixes.groupBy("token")
-        .agg(F.max(F.struct("weight", (-F.col("doc")).alias("doc"))).alias("m"), F.count(F.lit(1)).alias("n"))
-        .filter("n > 1")
-        .select("token", (-F.col("m.doc")).alias("a"))
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        near = (
+            pairs.join(sigs.select(F.col("doc").alias("a"), F.col("sig").alias("sa")), "a")
+            .join(sigs.select(F.col("doc").alias("b"), F.col("sig").alias("sb")), "b")
+            .filter(_agreeing(F.col("sa"), F.col("sb")) >= rule.matches)
+            .select("a", "b")
+        )
+        return (
+            near.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a")
+            .join(texts.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b")
+            .select("a", "b", "ta", "tb")
+            .mapInArrow(_confirmer(rule), "a long, b long")
+        )
+
+    def centre_of(lists: DataFrame, *more: Column) -> DataFrame:
+        heaviest = F.max(F.struct("weight", (-F.col("doc")).alias("doc"), *more)).alias("m")
+        return lists.groupBy("token").agg(heaviest, F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+    # First every class meets one centre, the heaviest of its lists ...
+    centres = centre_of(prefixes).select("token", F.col("m.weight").alias("w"), F.col("m.doc").alias("a"))
+    met = (
+        prefixes.join(centres, "token")
+        .groupBy("doc")
+        .agg(F.max(F.struct("w", "a")).alias("m"))
+        .select((-F.col("m.a")).alias("a"), F.col("doc").alias("b"))
+        .filter("a <> b")
     )
-    starred = prefixes.join(centres, "token").filter("doc <> a").select("a", F.col("doc").alias("b")).distinct()
-    near = (
-        starred.join(sigs.select(F.col("doc").alias("a"), F.col("sig").alias("sa")), "a")
-        .join(sigs.select(F.col("doc").alias("b"), F.col("sig").alias("sb")), "b")
-        .filter(_agreeing(F.col("sa"), F.col("sb")) >= rule.matches)
-        .select("a", "b")
+    links = materialized(confirmed(met), "links")
+    comp = F.coalesce("component", "doc").alias("comp")
+
+    def placed_by(parts: DataFrame) -> DataFrame:
+        return prefixes.join(parts.withColumnRenamed("node", "doc"), "doc", "left").select("token", "doc", "weight", comp)
+
+    # ... then, in lists that still hold several components, the others meet the list's centre ...
+    placed = placed_by(components(links))
+    centres = centre_of(placed, F.col("comp")).select(
+        "token", (-F.col("m.doc")).alias("a"), F.col("m.comp").alias("centre_comp")
     )
-    confirmed = (
-        near.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a")
-        .join(texts.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b")
-        .select("a", "b", "ta", "tb")
-        .mapInArrow(_confirmer(rule), "a long, b long")
+    starred = (
+        placed.join(centres, "token")
+        .filter("comp <> centre_comp")
+        .select("a", F.col("doc").alias("b"))
+        .distinct()
     )
-    first = components(confirmed)
+    links = materialized(links.unionByName(confirmed(starred)), "links")
+    first = components(links)
 
-    comp = F.coalesce("component", "doc").alias("comp")
-    placed = prefixes.join(first.withColumnRenamed("node", "doc"), "doc", "left").select("token", "doc", comp)
+    # ... and what remains is compared between components in blocks.
+    placed = placed_by(first)
     open_lists = (
         placed.groupBy("token")
         .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"))
@@ -281,7 +319,7 @@ def near_duplicates(docs: DataFrame, rule: NearDup = NearDup(), doc_id: str = "d
         .withColumn("p", F.explode(_pairs_of_blocks(F.col("block"), F.col("nb"))))
         .select("token", "p.i", "p.j", "doc", "comp", "block", "sig")
     )
-    candidates = gathered(blocked, ["token", "i", "j"]).mapInArrow(_list_merger(rule), "a long, b long")
+    candidates = gathered(blocked, ["token", "i", "j"]).mapInArrow(_list_merger(rule), "a long, b long").distinct()
     groups = components(candidates).select(F.col("node").alias("doc"), F.col("component").alias("g"))
     grouped = groups.join(first.withColumnRenamed("node", "doc"), "doc", "left").select("g", "doc", comp)
     sizes = grouped.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("n"))
