@@ -8,10 +8,10 @@ anchor's bucket. Documents are packed in parts, and parts talk to buckets twice:
 2. for the runs of those anchors: what is the least document that has each window?
 
 Messages are one row for a part and a bucket with packed arrays, pre-aggregated in the part, so a
-string that every document has costs one entry for each part. In a bucket, runs are put in
-suffix order: a mergesort whose comparisons find the common extension of two suffixes by binary
-search on prefix polynomial hashes. Equal neighbours collapse after their bytes are compared; the
-windows of the remaining runs are grouped by the hash of their 50 bytes and verified likewise.
+string that every document has costs one entry for each part. In a bucket, suffixes are put in
+order by mergesort, whose comparisons find the common extension of two suffixes by binary search
+on prefix polynomial hashes; equal neighbours collapse after their bytes are compared. First the
+runs are sorted, then the windows of the distinct runs, cut to 50 bytes.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ LENGTH = 50
 GRAM = 20
 PART_BYTES = 2 << 20
 #: Bytes of documents for each bucket, and the least number of buckets.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 2 << 20
 MIN_BUCKETS = 256
 #: Longer runs (periodic texts) are cut; windows are compared one by one, so any cut is right.
 RUN_WINDOWS = 64
@@ -87,57 +87,77 @@ def common_extension(prefix: np.ndarray, down: np.ndarray, a: np.ndarray, b: np.
     return low
 
 
-def suffix_order(data: np.ndarray, prefix: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Order of the strings data[start:start+length]: a bottom-up mergesort of all runs at once.
+def leading_bytes(data: np.ndarray) -> np.ndarray:
+    """Eight bytes from every position as a number that orders like the bytes (a view)."""
+    return np.ndarray((len(data) - 7,), dtype=">u8", buffer=data, strides=(1,))
 
-    Every element finds its place in the sibling run by binary search, so a level costs a
-    logarithmic number of suffix comparisons for each element, and each comparison a logarithmic
-    number of hash probes.
+
+def suffix_order(data: np.ndarray, prefix: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the strings data[start:start+length] of at least 8 bytes, and for each place in it
+    whether the string equals the one before.
+
+    Leading bytes sort the suffixes into short runs of ties. Each run is sorted by a bottom-up
+    mergesort, all runs of a level at once: an element finds its place in the sibling by binary
+    search, and a comparison is a logarithmic number of hash probes. Equality is verified on bytes.
     """
     _, down = tx.powers(len(prefix))
     n = len(start)
-    order = np.arange(n)
+    lead = leading_bytes(data)[start].astype(np.uint64)
+    order = np.argsort(lead, kind="stable")
+    fresh = np.ones(n, dtype=bool)
+    fresh[1:] = lead[order][1:] != lead[order][:-1]
+    tie = np.cumsum(fresh) - 1
+    begin = np.flatnonzero(fresh)
+    end = np.append(begin[1:], n)
     padded = np.append(data, 0)
 
     def before(x: np.ndarray, y: np.ndarray, ties: np.ndarray) -> np.ndarray:
         lx, ly = length[x], length[y]
         shared = common_extension(prefix, down, start[x], start[y], np.minimum(lx, ly))
-        over_x, over_y = shared == lx, shared == ly
-        bx, by = padded[start[x] + shared].astype(np.int64), padded[start[y] + shared].astype(np.int64)
-        bx, by = np.where(over_x, -1, bx), np.where(over_y, -1, by)
+        bx = np.where(shared == lx, -1, padded[start[x] + shared].astype(np.int64))
+        by = np.where(shared == ly, -1, padded[start[y] + shared].astype(np.int64))
         return (bx < by) | ((bx == by) & ties)
 
     width = 1
     while width < n:
-        place = np.arange(n)
-        run = place // width
-        sibling = run ^ 1
-        low = np.minimum(sibling * width, n)
-        base, high = low.copy(), np.minimum(low + width, n)
-        left = (run & 1) == 0
-        for _ in range(width.bit_length()):
-            open_ = np.flatnonzero(low < high)
-            if len(open_) == 0:
-                break
-            middle = (low[open_] + high[open_]) >> 1
-            # An element of the right run comes after equal ones of the left run.
-            less = before(order[middle], order[open_], ~left[open_])
-            low[open_] = np.where(less, middle + 1, low[open_])
-            high[open_] = np.where(less, high[open_], middle)
-        target = (run >> 1) * 2 * width + (place - run * width) + (low - base)
-        merged = np.empty(n, dtype=np.int64)
-        merged[target] = order
-        order = merged
+        cut = np.arange(width, n, 2 * width)
+        cut = cut[tie[cut] == tie[cut - 1]]
+        low, high = np.maximum(begin[tie[cut]], cut - width), np.minimum(end[tie[cut]], cut + width)
+        place, owner = expand(low, high - low)
+        if len(place):
+            left = place < cut[owner]
+            lo = np.where(left, cut[owner], low[owner])
+            hi = np.where(left, high[owner], cut[owner])
+            base = lo.copy()
+            own = order[place]
+            active = np.arange(len(place))
+            while len(active):
+                middle = (lo[active] + hi[active]) >> 1
+                # An element of the right side comes after equal ones of the left side.
+                less = before(order[middle], own[active], ~left[active])
+                lo[active] = np.where(less, middle + 1, lo[active])
+                hi[active] = np.where(less, hi[active], middle)
+                active = active[lo[active] < hi[active]]
+            offset = np.where(left, place, place - cut[owner] + low[owner])
+            order[offset + lo - base] = own
         width *= 2
-    return order
+    a, b = order[:-1], order[1:]
+    near = np.flatnonzero(~fresh[1:] & (length[a] == length[b]))
+    a, b = a[near], b[near]
+    same = common_extension(prefix, down, start[a], start[b], length[a]) == length[a]
+    near, a, b = near[same], a[same], b[same]
+    equal = np.zeros(n, dtype=bool)
+    equal[near[same_bytes(data, start[a], start[b], length[a])] + 1] = True
+    return order, equal
 
 
-def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Whether data[a:a+length] equals data[b:b+length], eight bytes at a time."""
-    eights = np.ndarray((len(data) - 7,), dtype="<u8", buffer=np.ascontiguousarray(data), strides=(1,))
+    eights = leading_bytes(data)
     same = np.ones(len(a), dtype=bool)
-    for at in [*range(0, length - 7, 8), length - 8]:
-        same &= eights[a + at] == eights[b + at]
+    for at in range(0, int(length.max(initial=8)), 8):
+        step = np.minimum(at, length - 8)
+        same &= eights[a + step] == eights[b + step]
     return same
 
 
@@ -146,40 +166,18 @@ def least_docs(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray) -> tuple
     document of every window of the groups' strings."""
     length = np.diff(offsets)
     prefix = tx.prefix_hashes(data, tx.byte_codes(False))
-    start = offsets[:-1]
-    order = suffix_order(data, prefix, start, length)
-    a, b = order[:-1], order[1:]
-    equal = np.flatnonzero(length[a] == length[b])
-    a, b = a[equal], b[equal]
-    _, down = tx.powers(len(prefix))
-    equal_here = common_extension(prefix, down, start[a], start[b], length[a]) == length[a]
-    equal, a, b = equal[equal_here], a[equal_here], b[equal_here]
-    ia, owner = expand(start[a], length[a])
-    ib, _ = expand(start[b], length[b])
-    differs = np.bincount(owner, weights=data[ia] != data[ib], minlength=len(a)) > 0
-    joined = np.zeros(len(order), dtype=bool)
-    joined[equal[~differs] + 1] = True
+    order, equal = suffix_order(data, prefix, offsets[:-1], length)
     group = np.empty(len(order), dtype=np.int64)
-    group[order] = np.cumsum(~joined) - 1
-    heads = np.flatnonzero(~joined)
+    group[order] = np.cumsum(~equal) - 1
+    heads = np.flatnonzero(~equal)
     first_doc = np.minimum.reduceat(docs[order], heads)
     chosen = order[heads]
     windows = length[chosen] - LENGTH + 1
-    at, owner = expand(start[chosen], windows)
-    hashes = tx.range_hashes(prefix, at, at + LENGTH)
-    rank = np.argsort(hashes, kind="stable")
-    fresh = np.ones(len(rank), dtype=bool)
-    fresh[1:] = hashes[rank[1:]] != hashes[rank[:-1]]
-    inner = np.flatnonzero(~fresh)
-    if len(inner) and not same_bytes(data, at[rank[inner]], at[rank[inner - 1]], LENGTH).all():
-        view = np.lib.stride_tricks.sliding_window_view(data, LENGTH)[at]
-        _, classes = np.unique(view, axis=0, return_inverse=True)
-        rank = np.argsort(classes.reshape(-1), kind="stable")
-        fresh[1:] = np.diff(classes.reshape(-1)[rank]) != 0
-    begin = np.flatnonzero(fresh)
-    least = np.minimum.reduceat(first_doc[owner[rank]], begin)
-    out = np.empty(len(rank), dtype=np.int64)
-    out[rank] = least[np.cumsum(fresh) - 1]
+    at, owner = expand(offsets[:-1][chosen], windows)
+    order, equal = suffix_order(data, prefix, at, np.full(len(at), LENGTH))
+    least = np.minimum.reduceat(first_doc[owner[order]], np.flatnonzero(~equal))
+    out = np.empty(len(order), dtype=np.int64)
+    out[order] = least[np.cumsum(~equal) - 1]
     return group, np.cumsum(windows) - windows, out
 
 
