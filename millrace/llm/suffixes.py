@@ -32,9 +32,9 @@ from millrace.session import materialized
 
 LENGTH = 50
 GRAM = 20
-PART_BYTES = 2 << 20
+PART_BYTES = 1 << 20
 #: Bytes of documents for each bucket, and the least number of buckets.
-BUCKET_BYTES = 2 << 20
+BUCKET_BYTES = 4 << 20
 MIN_BUCKETS = 256
 #: Longer runs (periodic texts) are cut; windows are compared one by one, so any cut is right.
 RUN_WINDOWS = 64
@@ -332,22 +332,23 @@ def _ask_windows(shift: int):
 def _answer_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     packer = zstandard.ZstdCompressor(level=1)
     for batch, starts in key_runs(batches, ["bucket"]):
-        rows = batch.to_pylist()
+        parts, buckets, payload = (batch.column(c) for c in ("part", "bucket", "payload"))
         for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
             length, docs, body = [], [], []
-            for r in rows[lo:hi]:
-                raw = zstandard.decompress(r["payload"])
+            for k in range(lo, hi):
+                raw = zstandard.decompress(payload[k].as_buffer())
                 n = int(np.frombuffer(raw, dtype="<i8", count=1)[0])
                 length.append(np.frombuffer(raw, dtype="<u1", count=n, offset=8).astype(np.int64))
                 docs.append(np.frombuffer(raw, dtype="<i8", count=n, offset=8 + n))
                 body.append(np.frombuffer(raw, dtype=np.uint8, offset=8 + 9 * n))
-            lengths = np.concatenate(length)
-            offsets = np.concatenate([[0], np.cumsum(lengths)])
+            offsets = np.concatenate([[0], np.cumsum(np.concatenate(length))])
             group, first, least = least_docs(np.concatenate(body), offsets, np.concatenate(docs))
+            del docs, body
             out, at = [], 0
-            for r, own in zip(rows[lo:hi], length, strict=True):
+            for k, own in enumerate(length, lo):
                 where, _ = expand(first[group[at : at + len(own)]], own - LENGTH + 1)
-                out.append((r["part"], r["bucket"], packer.compress(least[where].astype("<i8").tobytes())))
+                answer = packer.compress(least[where].astype("<i8").tobytes())
+                out.append((parts[k].as_py(), buckets[k].as_py(), answer))
                 at += len(own)
             yield _message(out)
 
