@@ -34,8 +34,10 @@ LENGTH = 50
 GRAM = 20
 PART_BYTES = 1 << 20
 #: Bytes of documents for each bucket, and the least number of buckets.
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 2 << 20
 MIN_BUCKETS = 256
+#: Windows of a bucket that are sorted at once.
+SORTED_WINDOWS = 1 << 18
 #: Longer runs (periodic texts) are cut; windows are compared one by one, so any cut is right.
 RUN_WINDOWS = 64
 NO_DOC = np.iinfo(np.int64).min
@@ -174,10 +176,16 @@ def least_docs(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray) -> tuple
     chosen = order[heads]
     windows = length[chosen] - LENGTH + 1
     at, owner = expand(offsets[:-1][chosen], windows)
-    order, equal = suffix_order(data, prefix, at, np.full(len(at), LENGTH))
-    least = np.minimum.reduceat(first_doc[owner[order]], np.flatnonzero(~equal))
-    out = np.empty(len(order), dtype=np.int64)
-    out[order] = least[np.cumsum(~equal) - 1]
+    # Equal windows have equal leading bytes, so the windows can be sorted in parts of bounded size.
+    parts = -(-len(at) // SORTED_WINDOWS)
+    part = (leading_bytes(data)[at].astype(np.uint64) * tx._BASE >> np.uint64(32)) % np.uint64(max(1, parts))
+    out = np.empty(len(at), dtype=np.int64)
+    for k in range(parts):
+        own = np.flatnonzero(part == k)
+        if len(own):
+            order, equal = suffix_order(data, prefix, at[own], np.full(len(own), LENGTH))
+            least = np.minimum.reduceat(first_doc[owner[own[order]]], np.flatnonzero(~equal))
+            out[own[order]] = least[np.cumsum(~equal) - 1]
     return group, np.cumsum(windows) - windows, out
 
 
