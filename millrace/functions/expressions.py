@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.schema import EARTH_RADIUS_KM, VECTOR_WIDTH
@@ -21,7 +21,8 @@ def haversine_km(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Colu
 
 
 def dot(left: Column, right: Column, width: int = VECTOR_WIDTH) -> Column:
-    """Inner product in double precision; NULL if either vector is.
+    """Inner product in double precision; NULL if either vector is. Vectors of unequal length
+    raise.
 
     Vectors of the expected width take a sum written out element by element, which is
     compiled in small pieces; any other width takes the interpreted lambda form. (The
@@ -38,7 +39,20 @@ def dot(left: Column, right: Column, width: int = VECTOR_WIDTH) -> Column:
         lambda total, x: total + x,
     )
     expected = (F.size(left) == width) & (F.size(right) == width)
-    return F.when(expected, reduce(lambda a, b: a + b, terms)).otherwise(general)
+    unequal = F.raise_error(F.lit("vectors of unequal length")).cast("double")
+    return (
+        F.when(expected, reduce(lambda a, b: a + b, terms))
+        .when(F.size(left) == F.size(right), general)
+        .when(left.isNotNull() & right.isNotNull(), unequal)
+    )
+
+
+def within_size(short_list: DataFrame, size: int, position: str) -> DataFrame:
+    """short_list, where evaluating a position outside 1..size raises instead of losing a row."""
+    beyond = F.raise_error(F.concat(F.lit(f"a list of {size} has position "), F.col(position)))
+    kind = short_list.schema[position].dataType
+    checked = F.when(F.col(position).between(1, size), F.col(position)).otherwise(beyond.cast(kind))
+    return short_list.withColumn(position, checked)
 
 
 def hashed_draw(parts: list[Column], size: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import registry
-from millrace.functions.expressions import dot
+from millrace.functions.expressions import dot, within_size
 from millrace.functions.timegrain import DEFAULT_GRAIN
 from millrace.operators import state as st
 from millrace.operators.asof import asof_lookup, latest_state
@@ -264,8 +264,8 @@ def shared_list_features(
 ) -> DataFrame:
     """(user_id, short_list columns, ts, features) of every user against one short list.
 
-    The item side is joined to the list (at most `size` rows, a setting) and the user
-    side to the users, before the two meet. Slots 1..size then match list positions by a
+    The item side is joined to the list (at most `size` rows, a setting; a position beyond
+    it raises) and the user side to the users, before the two meet. Slots 1..size then match list positions by a
     broadcast equi-join, so candidates are produced where the user already is: no
     candidate row is shuffled to obtain its features.
     """
@@ -278,7 +278,8 @@ def shared_list_features(
     width = int(users.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     asked = asked.repartition(width, "user_id")
     slots = asked.withColumn(position, F.explode(F.sequence(F.lit(1), F.lit(size))))
-    out = slots.join(F.broadcast(listed), position).withColumn("ts", _instant(as_of))
+    bounded = F.broadcast(within_size(listed, size, position))
+    out = slots.join(bounded, position).withColumn("ts", _instant(as_of))
     keep = ["user_id", *short_list.columns, "ts"]
     return _project(_matched(groups, out, store), keep, names)
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millrace.functions.expressions import within_size
 from millrace.operators.popularity import number_short_list
 from millrace.schema import POOL_SIZE
 
@@ -18,7 +19,6 @@ from millrace.schema import POOL_SIZE
 MAX_USER_BLOCK = 32768
 MIN_USER_BLOCK = 256
 ITEM_BLOCK = 32768
-SCORE_DIGITS = 9  # scores are compared at this precision, so ties are engine-independent
 _SCORED_ROWS = 256  # users scored at a time inside a block
 
 # Workers get the block functions by value, so they need no copy of this package.
@@ -52,11 +52,14 @@ def _best(scores: np.ndarray, keep: int) -> np.ndarray:
 def _block_top(users: pa.Table, items: pa.Table, k: int) -> pa.Table:
     """The k best items of one item block for every user of one user block."""
     items = items.sort_by("business_id")  # position order is then the id tie-break
-    left, right = _matrix(users), _matrix(items).T
-    keep = min(k, right.shape[1])
+    # Equal vectors are scored once: the last bits of a matrix product may depend on where a
+    # column stands, and equal items must tie exactly.
+    distinct, place = np.unique(_matrix(items), axis=0, return_inverse=True)
+    left, right, place = _matrix(users), distinct.T, place.reshape(-1)
+    keep = min(k, len(place))
     best, found = [], []
     for start in range(0, len(left), _SCORED_ROWS):
-        scores = np.round(left[start : start + _SCORED_ROWS] @ right, SCORE_DIGITS) + 0.0
+        scores = (left[start : start + _SCORED_ROWS] @ right)[:, place] + 0.0
         top = _best(scores, keep)
         best.append(top.ravel())
         found.append(np.take_along_axis(scores, top, axis=1).ravel())
@@ -133,10 +136,11 @@ def popularity_head(ranked_counts: DataFrame, size: int = POOL_SIZE) -> DataFram
 def per_user(users: DataFrame, short_list: DataFrame, size: int, position: str) -> DataFrame:
     """Every user with the shared list: slots 1..size matched to list positions.
 
-    The list has at most `size` rows, a setting, so it may be broadcast.
+    The list has at most `size` rows, a setting, so it may be broadcast; a position beyond it
+    raises.
     """
     slots = users.withColumn(position, F.explode(F.sequence(F.lit(1), F.lit(size))))
-    return slots.join(F.broadcast(short_list), position)
+    return slots.join(F.broadcast(within_size(short_list, size, position)), position)
 
 
 def retrieve(

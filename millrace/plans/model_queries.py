@@ -58,7 +58,7 @@ SELECT user_id, business_id, score, rank FROM (
   SELECT user_id, business_id, score,
          row_number() OVER (PARTITION BY user_id ORDER BY score DESC, business_id) AS rank
   FROM (SELECT ue.user_id, ie.business_id,
-               round(list_dot_product(ue.value, ie.value), 9) + 0.0 AS score
+               list_dot_product(ue.value, ie.value) + 0.0 AS score
         FROM ue CROSS JOIN ie))
 WHERE rank <= 500""",
 )
@@ -71,10 +71,10 @@ UNION ALL
 SELECT 'u' || c_custkey, business_id, pre_t_reviews::DOUBLE, rank, true
 FROM customer CROSS JOIN head WHERE 'u' || c_custkey NOT IN (SELECT user_id FROM ue)""",
 )
-SCORE = """round(
+SCORE = """(
   coalesce(ui_als_score, 0) * 1.0::DOUBLE + 0.2::DOUBLE * coalesce(ui_category_affinity, 0)
   + 0.1::DOUBLE * ln(1 + i_reviews_to_date) + 0.05::DOUBLE * coalesce(i_mean_stars_to_date, 3)
-  - 0.02::DOUBLE * coalesce(ui_distance_km, 10) - 0.05::DOUBLE * coalesce(ui_price_delta, 1), 9)"""
+  - 0.02::DOUBLE * coalesce(ui_distance_km, 10) - 0.05::DOUBLE * coalesce(ui_price_delta, 1))"""
 
 
 def scored_relations(candidates: str) -> list[tuple[str, str]]:
@@ -100,10 +100,10 @@ SHARED = (
 PERSONAL = (
     "personal",
     """
-SELECT user_id, business_id, rank AS pool_rank FROM topk
+SELECT user_id, business_id, rank AS pool_rank FROM retrieved
 WHERE user_id IN (SELECT user_id FROM eval_users)""",
 )
-ORDERED = [TOPK, EVAL_USERS, PERSONAL, *scored_relations("personal")]
+ORDERED = [TOPK, HEAD, RETRIEVED, EVAL_USERS, PERSONAL, *scored_relations("personal")]
 
 INPUTS = (
     "inputs",
@@ -115,12 +115,12 @@ LEFT JOIN reviewed r ON o.user_id = r.user_id AND o.business_id = r.business_id"
 )
 
 
-def reranked_sql(source: str, where: str, cap: int, k: int) -> str:
+def reranked_sql(source: str, where: str, cap: int | str, k: int) -> str:
     return f"""
 SELECT * EXCLUDE (deferred, rank, final), rank AS previous_rank, final AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY deferred, rank) AS final FROM (
-    SELECT *, primary_category IS NOT NULL AND
-           row_number() OVER (PARTITION BY user_id, primary_category ORDER BY rank) > {cap}
+    SELECT *, primary_category IS NOT NULL AND coalesce(
+             row_number() OVER (PARTITION BY user_id, primary_category ORDER BY rank) > {cap}, false)
            AS deferred
     FROM {source} WHERE {where}))
 WHERE final <= {k}"""
@@ -207,17 +207,26 @@ def _pairs(spark, sf):
     return ix.interactions(tables.events(spark, sf), tables.dim(spark, sf), SPLIT_T)
 
 
-def _personal_pools(spark, sf):
-    """Retrieved lists of the holdout users that have a vector."""
-    users = _truth(spark, sf).select("user_id").distinct()
-    known = tables.user_embedding(spark, sf).join(users, "user_id", "left_semi")
-    return retrieval.exact_topk(known, tables.item_embedding(spark, sf))
+def _lists(spark, sf, users):
+    """A full list for every user: retrieved, or the popularity head without a vector."""
+    lists = retrieval.retrieve(
+        users,
+        tables.user_embedding(spark, sf),
+        tables.item_embedding(spark, sf),
+        _head(spark, sf),
+    )
+    return materialized(lists, "lists")
 
 
 def _ordered(spark, sf):
-    return ranking.score_personal_pool(
-        _personal_pools(spark, sf), split_store(spark, sf), SPLIT_T, FIXED_SCORER
-    )
+    pools = _lists(spark, sf, _truth(spark, sf).select("user_id").distinct())
+    ranking.require_equal_pools(pools)
+    return ranking.score_personal_pool(pools, split_store(spark, sf), SPLIT_T, FIXED_SCORER)
+
+
+def _shown(df):
+    """Scores at the precision that answers are compared at; ranks come from the full ones."""
+    return df.withColumn("score", F.round("score", 9) + F.lit(0.0))
 
 
 def _rerank_inputs(spark, sf):
@@ -313,28 +322,23 @@ def als_slices(spark, sf):
 
 @register(
     "exact_topk",
-    with_relations("SELECT user_id, business_id, score, rank FROM topk", TOPK),
+    with_relations("SELECT user_id, business_id, round(score, 9) + 0.0 AS score, rank FROM topk", TOPK),
 )
 def exact_topk(spark, sf):
-    return _topk(spark, sf)
+    return _shown(_topk(spark, sf))
 
 
 @register(
     "retrieve",
     with_relations(
-        "SELECT user_id, business_id, score, rank, cold FROM retrieved",
+        "SELECT user_id, business_id, round(score, 9) + 0.0 AS score, rank, cold FROM retrieved",
         TOPK,
         HEAD,
         RETRIEVED,
     ),
 )
 def retrieve(spark, sf):
-    return retrieval.retrieve(
-        tables.users(spark, sf),
-        tables.user_embedding(spark, sf),
-        tables.item_embedding(spark, sf),
-        _head(spark, sf),
-    )
+    return _shown(_lists(spark, sf, tables.users(spark, sf)))
 
 
 # --- two-tower inputs -------------------------------------------------------------
@@ -612,15 +616,17 @@ def training_set(spark, sf):
 
 PERSONAL_TRAINING = [
     TOPK,
+    HEAD,
+    RETRIEVED,
     (
         "pos",
         """
 SELECT row_number() OVER (ORDER BY user_id, ts, business_id) AS group_id, user_id, business_id, ts
-FROM pre JOIN topk USING (user_id, business_id)""",
+FROM pre JOIN retrieved USING (user_id, business_id)""",
     ),
     (
         "neg",
-        draw_sql("pos", "reviewed", "topk", "(SELECT least(500, count(*)) FROM dm)"),
+        draw_sql("pos", "reviewed", "retrieved", "(SELECT least(500, count(*)) FROM dm)"),
     ),
     CANDIDATES,
     *asof_relations("cand"),
@@ -637,9 +643,10 @@ FROM pre JOIN topk USING (user_id, business_id)""",
 )
 def training_set_personalized(spark, sf):
     # Lists are shorter than the pool size only where the whole catalog is.
-    catalog = tables.dim(spark, sf).agg(F.least(F.lit(POOL_SIZE), F.count(F.lit(1)))).scalar()
+    catalog = min(POOL_SIZE, tables.dim(spark, sf).count())
+    lists = _lists(spark, sf, tables.users(spark, sf))
     out = tr.training_set_personalized(
-        tables.events(spark, sf), full_store(spark, sf), _topk(spark, sf), SPLIT_T, catalog
+        tables.events(spark, sf), full_store(spark, sf), lists, SPLIT_T, catalog
     )
     return rounded(out, fractional())
 
@@ -696,7 +703,7 @@ def train_ranking_model(spark, sf):
 @register(
     "score_shared_pool",
     with_relations(
-        "SELECT user_id, business_id, pool_rank, score, rank FROM ordered",
+        "SELECT user_id, business_id, pool_rank, round(score, 9) + 0.0 AS score, rank FROM ordered",
         HEAD,
         EVAL_USERS,
         SHARED,
@@ -706,20 +713,22 @@ def train_ranking_model(spark, sf):
 def score_shared_pool(spark, sf):
     users = _truth(spark, sf).select("user_id").distinct()
     head = _head(spark, sf).withColumnRenamed("rank", "pool_rank")
-    return ranking.score_shared_pool(
-        users, head, POOL_SIZE, split_store(spark, sf), SPLIT_T, FIXED_SCORER
+    return _shown(
+        ranking.score_shared_pool(
+            users, head, POOL_SIZE, split_store(spark, sf), SPLIT_T, FIXED_SCORER
+        )
     )
 
 
 @register(
     "score_personal_pool",
     with_relations(
-        "SELECT user_id, business_id, pool_rank, score, rank FROM ordered",
+        "SELECT user_id, business_id, pool_rank, round(score, 9) + 0.0 AS score, rank FROM ordered",
         *ORDERED,
     ),
 )
 def score_personal_pool(spark, sf):
-    return _ordered(spark, sf)
+    return _shown(_ordered(spark, sf))
 
 
 @register(
@@ -742,14 +751,14 @@ def ordering_resolution(spark, sf):
     "rerank_inputs",
     with_relations(
         """
-SELECT user_id, business_id, pool_rank, score, rank, is_open,
+SELECT user_id, business_id, pool_rank, round(score, 9) + 0.0 AS score, rank, is_open,
        primary_category, repeat FROM inputs""",
         *ORDERED,
         INPUTS,
     ),
 )
 def rerank_inputs(spark, sf):
-    return _rerank_inputs(spark, sf)
+    return _shown(_rerank_inputs(spark, sf))
 
 
 @register(
@@ -764,10 +773,10 @@ def rerank_lists(spark, sf):
 
 
 VARIANT_SQL = {
-    "no rerank": ("true", 501),
+    "no rerank": ("true", "NULL"),
     "diversity cap only": ("true", 2),
-    "closed filter only": ("is_open", 501),
-    "repeats filter only": ("NOT repeat", 501),
+    "closed filter only": ("is_open", "NULL"),
+    "repeats filter only": ("NOT repeat", "NULL"),
     "all three": ("NOT repeat AND is_open", 2),
 }
 
@@ -853,7 +862,7 @@ def closed_target_share(spark, sf):
     "recommend_batch",
     with_relations(
         """
-SELECT user_id, rank, business_id, name, pre_t_reviews, score,
+SELECT user_id, rank, business_id, name, pre_t_reviews, round(score, 9) + 0.0 AS score,
        10 AS requested_k, count(business_id) OVER (PARTITION BY user_id) AS returned_k,
        10 - count(business_id) OVER (PARTITION BY user_id) AS shortfall
 FROM (SELECT 'u' || c_custkey AS user_id FROM customer)
@@ -881,15 +890,17 @@ LEFT JOIN reviewed r ON o.user_id = r.user_id AND o.business_id = r.business_id"
     ),
 )
 def recommend_batch(spark, sf):
-    return funnel.recommend_batch(
-        tables.users(spark, sf),
-        split_store(spark, sf),
-        _counts(spark, sf),
-        tables.user_embedding(spark, sf),
-        tables.item_embedding(spark, sf),
-        _reviewed(spark, sf),
-        SPLIT_T,
-        FIXED_SCORER,
+    return _shown(
+        funnel.recommend_batch(
+            tables.users(spark, sf),
+            split_store(spark, sf),
+            _counts(spark, sf),
+            tables.user_embedding(spark, sf),
+            tables.item_embedding(spark, sf),
+            _reviewed(spark, sf),
+            SPLIT_T,
+            FIXED_SCORER,
+        )
     )
 
 
@@ -897,7 +908,7 @@ def recommend_batch(spark, sf):
     "recommend_popularity",
     with_relations(
         """
-SELECT user_id, rank, business_id, name, pre_t_reviews, score,
+SELECT user_id, rank, business_id, name, pre_t_reviews, round(score, 9) + 0.0 AS score,
        10 AS requested_k, count(business_id) OVER (PARTITION BY user_id) AS returned_k,
        10 - count(business_id) OVER (PARTITION BY user_id) AS shortfall
 FROM (SELECT 'u' || c_custkey AS user_id FROM customer)
@@ -914,8 +925,10 @@ USING (user_id)""",
     ),
 )
 def recommend_popularity(spark, sf):
-    return funnel.recommend_popularity(
-        tables.users(spark, sf), split_store(spark, sf), _counts(spark, sf), SPLIT_T, FIXED_SCORER
+    return _shown(
+        funnel.recommend_popularity(
+            tables.users(spark, sf), split_store(spark, sf), _counts(spark, sf), SPLIT_T, FIXED_SCORER
+        )
     )
 
 
