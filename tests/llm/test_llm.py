@@ -230,7 +230,7 @@ def test_compact_windows_match_brute_force():
         expected = {(i + int(np.argmin(v[i : j + 1])), i, j) for i in range(n) for j in range(i + t - 1, n)}
         got = {
             (c, i, j)
-            for _, low, c, high in passages.compact_windows(v, t)
+            for _, low, c, high in passages.compact_windows(v[None], t)[0]
             for i in range(low, c + 1)
             for j in range(max(c, i + t - 1), high + 1)
         }
