@@ -25,16 +25,19 @@ def read(spark, store):
 
 def test_golden_rows(spark):
     got = read(spark, golden_store(spark))
+    # Two reviews of 4 and 1 stars, the last one 27 + 31 + 30 + 2 days ago; the item has 4 and 2.
+    # The user's centre is 0.1 degrees from the item. Two earlier Books and one Maps over two reviews;
+    # 2 * 1 + 1 * 4; tier 3 against a mean of 2.
     first = got[1]
-    assert (first.u_reviews_to_date, first.u_mean_stars_to_date, first.u_days_since_last) == (2, 4.0, 92)
-    assert (first.i_reviews_to_date, first.i_mean_stars_to_date) == (2, 4.5)
-    assert first.ui_distance_km == pytest.approx(2.7799, abs=1e-3)
-    assert (first.ui_category_affinity, first.ui_als_score, first.ui_price_delta) == (1.5, 5.0, 0.5)
+    assert (first.u_reviews_to_date, first.u_mean_stars_to_date, first.u_days_since_last) == (2, 2.5, 90)
+    assert (first.i_reviews_to_date, first.i_mean_stars_to_date) == (2, 3.0)
+    assert first.ui_distance_km == pytest.approx(11.1195, abs=1e-3)
+    assert (first.ui_category_affinity, first.ui_als_score, first.ui_price_delta) == (1.5, 6.0, 1.0)
     own = got[2]  # exactly at its own event: that event is not history
-    assert (own.u_reviews_to_date, own.u_mean_stars_to_date, own.u_days_since_last) == (1, 5.0, 59)
+    assert (own.u_reviews_to_date, own.u_mean_stars_to_date, own.u_days_since_last) == (1, 4.0, 85)
     assert (own.i_reviews_to_date, own.i_mean_stars_to_date) == (0, None)
-    assert own.ui_distance_km == pytest.approx(5.5598, abs=1e-3)
-    assert (own.ui_category_affinity, own.ui_als_score, own.ui_price_delta) == (1.0, 2.0, 1.0)
+    assert own.ui_distance_km == pytest.approx(22.2390, abs=1e-3)
+    assert (own.ui_category_affinity, own.ui_als_score, own.ui_price_delta) == (1.0, 3.0, 2.0)
     cold = got[3]
     assert cold.u_reviews_to_date == 0 and cold.i_reviews_to_date == 2
     assert cold.u_mean_stars_to_date is None and cold.u_days_since_last is None
@@ -56,9 +59,9 @@ def test_later_events_change_nothing_and_a_leak_is_caught(spark):
 
 
 def test_one_value_uses_the_bulk_path(spark):
-    at = datetime(2018, 6, 1)
-    out = get_asof(spark, golden_store(spark), "ui_price_delta", "u1", "b1", at)
-    assert [r.value for r in out.collect()] == [0.5]
+    at = datetime(2017, 10, 2)
+    out = get_asof(spark, golden_store(spark), "ui_price_delta", "ana", "north", at)
+    assert [r.value for r in out.collect()] == [1.0]
 
 
 def test_unknown_feature_names_the_alternatives(spark):
@@ -121,21 +124,21 @@ def test_snapshot_round_trip_and_refusals(spark, tmp_path):
     snapshot.publish(root, store, events, generation="one")
     row = snapshot.manifest(spark, root).first()
     assert (row["users"], row["items"], row["businesses"], row["user_reviewed"]) == (2, 2, 3, 2)
-    assert row["as_of"] == datetime(2018, 3, 1, 0, 0, 0, 1)
+    assert row["as_of"] == datetime(2017, 7, 4, 0, 0, 0, 1)
     current, reviewed, _ = snapshot.open_snapshot(spark, root)
     current = replace(current, vector_width=3)
-    assert rows(reviewed) == [("u1", "b1"), ("u1", "b2"), ("u9", "b1")]
+    assert rows(reviewed) == [("ana", "north"), ("ana", "south"), ("ben", "north")]
     pairs = make_queries(spark, ASKED).select("user_id", "business_id").distinct()
     at = snapshot.as_of(store)
     clean = snapshot.skew_summary(pairs, store, current, at, F.lit(row["as_of"]).cast("timestamp_ntz"))
     assert clean.first().asDict() == {
         "sampled_pairs": 4, "compared_values": 36, "mismatches": 0, "same_instant": True}
     wrong = replace(
-        current, item=current.item.withColumn("cum_sum", F.col("cum_sum") + F.when(F.col("business_id") == "b2", 1).otherwise(0))
+        current, item=current.item.withColumn("cum_sum", F.col("cum_sum") + F.when(F.col("business_id") == "south", 1).otherwise(0))
     )
     offline, online = snapshot.compared_reads(pairs, store, wrong, at, at)
     bad = snapshot.skew_mismatches(offline, online)
-    assert {(r.query_id, r.feature) for r in bad.collect()} == {("u1|b2", "i_mean_stars_to_date")}
+    assert {(r.query_id, r.feature) for r in bad.collect()} == {("ana|south", "i_mean_stars_to_date")}
     # A failed publication leaves the pointer where it was.
     broken = replace(store, user=store.user.withColumn("cum_sum", F.raise_error(F.lit("boom")).cast("bigint")))
     with pytest.raises(Exception, match="boom"):
