@@ -11,6 +11,7 @@ the library's ids.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,9 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.llm.recent import Recent
+
 SPACE = "▁"
-CACHED_UNITS = 400_000
-CACHED_PAIRS = 1_000_000
+#: Units of each of two generations, and pairs, that a worker remembers.
+CACHED_UNITS = 250_000
+CACHED_PAIRS = 600_000
 CHUNK_CHARS = 1 << 19
 _START, _BYTES = -1, -2
 _models: dict[tuple[str, str | None], PieceModel] = {}
@@ -59,9 +63,8 @@ class PieceModel:
         # in no piece: texts fall into units that are encoded one by one and repeat a lot.
         local = all(SPACE not in p.lstrip(SPACE) and not re.search(r"[\n\t]", p) for p in self.normal)
         self.unit = re.compile(f"{SPACE}*[^{SPACE}\n\t]+|{SPACE}+|[\n\t]" if local else r"(?s).+")
-        self.units: dict[str, bytes] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.alone: dict[int, bool] = {}
+        self.units = Recent(CACHED_UNITS)
+        self.pairs: dict[int, bool] = {}
         texts = [p.replace(SPACE, " ").encode() if k in set(self.normal.values()) else b"" for k, p in enumerate(self.names)]
         for byte, k in self.byte_ids.items():
             texts[k] = bytes([byte])
@@ -91,17 +94,11 @@ class PieceModel:
 
     def follows(self, left: int, right: int) -> bool:
         """Whether the merges leave `right` after `left` (a piece, or a start or byte run)."""
-        if left < 0:
-            known = self.alone.get(right)
-            if known is None:
-                known = self.alone[right] = len(self.merged(self.names[right])) == 1
-            return known
-        known = self.pairs.get((left, right))
-        if known is None:
-            if len(self.pairs) >= CACHED_PAIRS:
-                self.pairs.clear()
-            a, b = self.names[left], self.names[right]
-            known = self.pairs[left, right] = self.merged(a + b) == [a, b]
+        if len(self.pairs) >= CACHED_PAIRS:
+            self.pairs.clear()
+        before = [self.names[left]] if left >= 0 else []
+        whole = [*before, self.names[right]]
+        known = self.pairs[left << 20 | right] = self.merged("".join(whole)) == whole
         return known
 
     def encode_unit(self, unit: str) -> list[int]:
@@ -109,16 +106,20 @@ class PieceModel:
         last: list[int | None] = [None] * (n + 1)
         size = [1] * (n + 1)
         last[0] = _START
-        for k, c in enumerate(unit):
-            if c not in self.singles:
-                last[k + 1] = _BYTES
+        if not self.singles.issuperset(unit):
+            for k, c in enumerate(unit):
+                if c not in self.singles:
+                    last[k + 1] = _BYTES
         if self.kind == "bpe":
+            known = self.pairs.get
             for end, (piece, width) in self.automaton.iter(unit):
                 end += 1
                 if last[end] is None:
                     before = last[end - width]
-                    if before is not None and self.follows(before, piece):
-                        last[end], size[end] = piece, width
+                    if before is not None:
+                        fits = known(before << 20 | piece)
+                        if self.follows(before, piece) if fits is None else fits:
+                            last[end], size[end] = piece, width
         else:
             best = [-np.inf] * (n + 1)
             best[0] = 0.0
@@ -157,23 +158,16 @@ class PieceModel:
         ids.reverse()
         return ids
 
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit integers."""
+        cut = [self.unit.findall(self.prefix + t.replace(" ", SPACE)) if t else [] for t in texts]
+        for u in self.units.missing({u for units in cut for u in units}):
+            self.units.young[u] = array("i", self.encode_unit(u)).tobytes()
+        ids = self.units.young.__getitem__
+        return [b"".join(map(ids, units)) for units in cut]
+
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian 32-bit integers."""
-        if not text:
-            return b""
-        units = self.unit.findall(self.prefix + text.replace(" ", SPACE))
-        known = self.units
-        if len(known) >= CACHED_UNITS:
-            known.clear()
-        out = []
-        for u in units:
-            ids = known.get(u)
-            if ids is None:
-                ids = np.array(self.encode_unit(u), dtype="<i4").tobytes()
-                if len(u) <= 64:
-                    known[u] = ids
-            out.append(ids)
-        return b"".join(out)
+        return self.encode_all([text])[0]
 
     def decode(self, ids: list[int]) -> str:
         raw = b"".join(map(self.texts.__getitem__, ids))
@@ -201,13 +195,14 @@ def _pieces_of(size: int, column: pa.Array) -> Iterator[tuple[int, int]]:
 def encode_pieces(
     docs: DataFrame, model: str, text: str = "text", keep: list[str] | None = None, kind: str | None = None
 ) -> DataFrame:
-    """`docs` (or its columns `keep`) with `piece_ids` (array of int), row by row without a shuffle.
+    """`docs` (or its columns `keep`) with `piece_ids` (array of int) and `piece_bytes` (the same as
+    little-endian 32-bit integers), row by row without a shuffle.
 
-    Whole texts are encoded. Null or empty text: no ids. A column piece_ids in `keep` raises. The
+    Whole texts are encoded. Null or empty text: no ids. A column of these names in `keep` raises. The
     automaton is built once in a worker from the model file, which every executor must have.
     """
     keep = list(docs.columns if keep is None else keep)
-    _clash(keep, ["piece_ids"])
+    _clash(keep, ["piece_ids", "piece_bytes"])
     rest = [c for c in keep if c != text]
     source = docs.select(F.col(text).cast("string").alias(text), *[F.col(f"`{c}`") for c in rest])
 
@@ -216,13 +211,17 @@ def encode_pieces(
         for whole in batches:
             for lo, hi in _pieces_of(CHUNK_CHARS, whole.column(0)):
                 batch = whole.slice(lo, hi - lo)
-                raw = [pieces.encode(t.as_py() or "") for t in batch.column(0)]
+                raw = pieces.encode_all([t or "" for t in batch.column(0).to_pylist()])
                 offsets = np.cumsum([0, *(len(r) // 4 for r in raw)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), dtype="<i4")))
-                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], ids], [*keep, "piece_ids"])
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(c) for c in keep], ids, pa.array(raw, pa.binary())],
+                    [*keep, "piece_ids", "piece_bytes"],
+                )
 
     shown = source.select(*keep).schema
-    return source.mapInArrow(encode, T.StructType([*shown, T.StructField("piece_ids", T.ArrayType(T.IntegerType()))]))
+    added = [T.StructField("piece_ids", T.ArrayType(T.IntegerType())), T.StructField("piece_bytes", T.BinaryType())]
+    return source.mapInArrow(encode, T.StructType([*shown, *added]))
 
 
 def decode_pieces(

@@ -112,21 +112,11 @@ def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = tokenizer_file("piece_bpe_32k.model")
     coded = pieces.encode_pieces(docs, model, keep=["doc_id", "text"])
-    back = pieces.decode_pieces(coded, model)
-    # Four little-endian bytes of each id, put together without leaving the JVM.
-    raw = F.unhex(
-        F.array_join(
-            F.transform(
-                "piece_ids",
-                lambda x: F.concat(*[F.lpad(F.hex(F.shiftright(x, 8 * k).bitwiseAND(255)), 2, "0") for k in range(4)]),
-            ),
-            "",
-        )
-    )
+    back = pieces.decode_pieces(coded, model, keep=["doc_id", "text", "piece_ids", "piece_bytes"])
     return back.select(
         "doc_id",
         F.size("piece_ids").cast("long").alias("n_pieces"),
-        F.crc32(raw).alias("ids_crc32"),
+        F.crc32("piece_bytes").alias("ids_crc32"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"),
     )

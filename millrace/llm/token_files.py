@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.llm.recent import Recent
+
 DICTIONARY_BYTES = 64 << 10
 #: The dictionary is trained on at most so many documents, and so many bytes of each one's ids.
 DICTIONARY_DOCS = 1000
@@ -28,7 +30,8 @@ DICTIONARY_DOC_BYTES = 16 << 10
 BLOCK_BYTES = 1 << 20
 BLOCK_DOCS = 4096
 LEVEL = 3
-CACHED_WORDS = 600_000
+#: Words of each of two generations that a worker remembers.
+CACHED_WORDS = 400_000
 
 BLOCKS = (
     "shard int, block int, first_doc long, last_doc long, token_start long, block_tokens long, "
@@ -59,7 +62,7 @@ class Encoder:
         self.opens = np.zeros(size, dtype=bool)
         for token, at in self.tokenizer.get_vocab().items():
             self.opens[at] = token.startswith("Ġ")
-        self.known: dict[str, bytes] = {}
+        self.known = Recent(CACHED_WORDS)
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -73,15 +76,14 @@ class Encoder:
             for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         ]
 
-    def _learn(self, words: set[str]) -> None:
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
+    def _learn(self, words: list[str]) -> None:
+        known = self.known.young
         plain, odd = [], []
         for w in words:
             easy = len(w) > 1 and w[0] == " " and w.count(" ") == 1 and not w[1].isspace() and not w[-1].isspace()
             (plain if easy else odd).append(w)
         for w, ids in zip(odd, self._raw(odd), strict=True):
-            self.known[w] = ids.tobytes()
+            known[w] = ids.tobytes()
         for at in range(0, len(plain), 2000):
             part = plain[at : at + 2000]
             ids = self._raw(["".join(part)])[0]
@@ -90,15 +92,16 @@ class Encoder:
                 raise RuntimeError("the tokenizer does not open words with a space")
             raw, cuts = ids.tobytes(), (cuts * self.width).tolist()
             for w, a, b in zip(part, cuts, cuts[1:], strict=False):
-                self.known[w] = raw[a:b]
+                known[w] = raw[a:b]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [_CUT.split(t) if _IRREGULAR.search(t) else t.replace(" ", "\0 ").split("\0") if "\0" not in t else _CUT.split(t) for t in texts]
-        seen = {w for words in cut for w in words}
-        if len(self.known) + len(seen) > CACHED_WORDS:
-            self.known.clear()
-        self._learn(seen.difference(self.known))
-        return [b"".join(map(self.known.__getitem__, words)) for words in cut]
+        cut = [
+            _CUT.split(t) if "\0" in t or _IRREGULAR.search(t) else t.replace(" ", "\0 ").split("\0")
+            for t in texts
+        ]
+        self._learn(self.known.missing({w for words in cut for w in words}))
+        ids = self.known.young.__getitem__
+        return [b"".join(map(ids, words)) for words in cut]
 
 
 def _batches(column: pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, list[str]]]:
