@@ -26,7 +26,7 @@ from millrace.session import materialized
 THRESHOLD = 0.98
 #: Vectors the codebooks are fitted on; the index holds every vector.
 SAMPLE = 20_000
-CELL_ROWS = 64
+CELL_ROWS = 512
 MAX_CODES = 512
 LIST_BLOCK = 1024
 QUERY_BLOCK = 2048
