@@ -36,8 +36,8 @@ PART_BYTES = 1 << 20
 #: Bytes of documents for each bucket, and the least number of buckets.
 BUCKET_BYTES = 2 << 20
 MIN_BUCKETS = 256
-#: Windows of a bucket that are sorted at once.
-SORTED_WINDOWS = 1 << 18
+#: Bytes of a bucket's strings that are sorted at once.
+SORTED_BYTES = 4 << 20
 #: Longer runs (periodic texts) are cut; windows are compared one by one, so any cut is right.
 RUN_WINDOWS = 64
 NO_DOC = np.iinfo(np.int64).min
@@ -78,10 +78,27 @@ def window_runs(data: np.ndarray, offsets: np.ndarray, prefix: np.ndarray) -> tu
     return start, count, least[start], row[start]
 
 
-def common_extension(prefix: np.ndarray, down: np.ndarray, a: np.ndarray, b: np.ndarray, limit: np.ndarray) -> np.ndarray:
-    """Length of the common prefix of the suffixes at a and at b, at most `limit`."""
+def string_prefixes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of all prefixes, where a byte's power counts from its own string. Ranges
+    inside strings can be compared, and no table of powers grows with the data."""
+    codes = tx.byte_codes(False)
+    out = np.zeros(len(data) + 1, dtype=np.uint64)
+    step = 1 << 14
+    for k in range(0, len(offsets) - 1, step):
+        cut = offsets[k : k + step + 1]
+        local, _ = expand(np.zeros(len(cut) - 1, dtype=np.int64), np.diff(cut))
+        up, _ = tx.powers(int(np.diff(cut).max(initial=0)) + 1)
+        out[cut[0] + 1 : cut[-1] + 1] = codes[data[cut[0] : cut[-1]]] * up[local]
+    return np.cumsum(out, out=out)
+
+
+def common_extension(
+    prefix: np.ndarray, a: np.ndarray, b: np.ndarray, da: np.ndarray, db: np.ndarray, limit: np.ndarray
+) -> np.ndarray:
+    """Length of the common prefix of the suffixes at a and at b, at most `limit`; da and db are the
+    inverse powers of their places."""
     low, high = np.zeros(len(a), dtype=np.int64), limit.copy()
-    da, db, pa_, pb = down[a], down[b], prefix[a], prefix[b]
+    pa_, pb = prefix[a], prefix[b]
     for _ in range(int(limit.max(initial=0)).bit_length()):
         middle = (low + high + 1) >> 1
         same = (prefix[a + middle] - pa_) * da == (prefix[b + middle] - pb) * db
@@ -94,15 +111,19 @@ def leading_bytes(data: np.ndarray) -> np.ndarray:
     return np.ndarray((len(data) - 7,), dtype=">u8", buffer=data, strides=(1,))
 
 
-def suffix_order(data: np.ndarray, prefix: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def suffix_order(
+    data: np.ndarray, prefix: np.ndarray, start: np.ndarray, length: np.ndarray, down: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """Order of the strings data[start:start+length] of at least 8 bytes, and for each place in it
     whether the string equals the one before.
 
     Leading bytes sort the suffixes into short runs of ties. Each run is sorted by a bottom-up
     mergesort, all runs of a level at once: an element finds its place in the sibling by binary
     search, and a comparison is a logarithmic number of hash probes. Equality is verified on bytes.
+    `down` are the inverse powers of the starts, by default those of hashes over the whole data.
     """
-    _, down = tx.powers(len(prefix))
+    if down is None:
+        down = tx.powers(len(prefix))[1][start]
     n = len(start)
     lead = leading_bytes(data)[start].astype(np.uint64)
     order = np.argsort(lead, kind="stable")
@@ -111,13 +132,13 @@ def suffix_order(data: np.ndarray, prefix: np.ndarray, start: np.ndarray, length
     tie = np.cumsum(fresh) - 1
     begin = np.flatnonzero(fresh)
     end = np.append(begin[1:], n)
-    padded = np.append(data, 0)
+    last = len(data) - 1
 
     def before(x: np.ndarray, y: np.ndarray, ties: np.ndarray) -> np.ndarray:
         lx, ly = length[x], length[y]
-        shared = common_extension(prefix, down, start[x], start[y], np.minimum(lx, ly))
-        bx = np.where(shared == lx, -1, padded[start[x] + shared].astype(np.int64))
-        by = np.where(shared == ly, -1, padded[start[y] + shared].astype(np.int64))
+        shared = common_extension(prefix, start[x], start[y], down[x], down[y], np.minimum(lx, ly))
+        bx = np.where(shared == lx, -1, data[np.minimum(start[x] + shared, last)].astype(np.int64))
+        by = np.where(shared == ly, -1, data[np.minimum(start[y] + shared, last)].astype(np.int64))
         return (bx < by) | ((bx == by) & ties)
 
     width = 1
@@ -146,7 +167,7 @@ def suffix_order(data: np.ndarray, prefix: np.ndarray, start: np.ndarray, length
     a, b = order[:-1], order[1:]
     near = np.flatnonzero(~fresh[1:] & (length[a] == length[b]))
     a, b = a[near], b[near]
-    same = common_extension(prefix, down, start[a], start[b], length[a]) == length[a]
+    same = common_extension(prefix, start[a], start[b], down[a], down[b], length[a]) == length[a]
     near, a, b = near[same], a[same], b[same]
     equal = np.zeros(n, dtype=bool)
     equal[near[same_bytes(data, start[a], start[b], length[a])] + 1] = True
@@ -167,26 +188,54 @@ def least_docs(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray) -> tuple
     """For strings of one bucket: group of each string, first window of each group, and the least
     document of every window of the groups' strings."""
     length = np.diff(offsets)
-    prefix = tx.prefix_hashes(data, tx.byte_codes(False))
-    order, equal = suffix_order(data, prefix, offsets[:-1], length)
-    group = np.empty(len(order), dtype=np.int64)
-    group[order] = np.cumsum(~equal) - 1
-    heads = np.flatnonzero(~equal)
-    first_doc = np.minimum.reduceat(docs[order], heads)
-    chosen = order[heads]
-    windows = length[chosen] - LENGTH + 1
-    at, owner = expand(offsets[:-1][chosen], windows)
-    # Equal windows have equal leading bytes, so the windows can be sorted in parts of bounded size.
-    parts = -(-len(at) // SORTED_WINDOWS)
-    part = (leading_bytes(data)[at].astype(np.uint64) * tx._BASE >> np.uint64(32)) % np.uint64(max(1, parts))
-    out = np.empty(len(at), dtype=np.int64)
+    lead = leading_bytes(data)
+    # Equal strings and equal windows have equal leading bytes, so both are sorted in parts of bounded
+    # size, each on a copy of its own bytes; nothing but the answer grows with a hot bucket.
+    parts = max(1, -(-len(data) // SORTED_BYTES))
+    part = lead_class(lead, offsets[:-1], parts)
+    group = np.empty(len(length), dtype=np.int64)
+    first_doc, begin, windows, n = [], [], [], 0
+    for k in range(parts):
+        own = np.flatnonzero(part == k)
+        if len(own):
+            order, equal = sorted_strings(data, offsets[own], length[own])
+            group[own[order]] = n + np.cumsum(~equal) - 1
+            heads = np.flatnonzero(~equal)
+            first_doc.append(np.minimum.reduceat(docs[own[order]], heads))
+            begin.append(offsets[own[order[heads]]])
+            windows.append(length[own[order[heads]]] - LENGTH + 1)
+            n += len(heads)
+    first_doc, begin, windows = (np.concatenate(x) for x in (first_doc, begin, windows))
+    first = np.cumsum(windows) - windows
+    total = int(windows.sum())
+    parts = max(1, -(-total * LENGTH // SORTED_BYTES))
+    part = np.empty(total, dtype=np.int32)
+    for k in range(0, len(begin), 1 << 14):
+        at, _ = expand(begin[k : k + (1 << 14)], windows[k : k + (1 << 14)])
+        part[first[k] : first[k] + len(at)] = lead_class(lead, at, parts)
+    out = np.empty(total, dtype=np.int64)
     for k in range(parts):
         own = np.flatnonzero(part == k)
         if len(own):
-            order, equal = suffix_order(data, prefix, at[own], np.full(len(own), LENGTH))
-            least = np.minimum.reduceat(first_doc[owner[own[order]]], np.flatnonzero(~equal))
+            owner = np.searchsorted(first, own, side="right") - 1
+            order, equal = sorted_strings(data, begin[owner] + own - first[owner], np.full(len(own), LENGTH))
+            least = np.minimum.reduceat(first_doc[owner[order]], np.flatnonzero(~equal))
             out[own[order]] = least[np.cumsum(~equal) - 1]
-    return group, np.cumsum(windows) - windows, out
+    return group, first, out
+
+
+def lead_class(lead: np.ndarray, at: np.ndarray, parts: int) -> np.ndarray:
+    return (lead[at].astype(np.uint64) * tx._BASE >> np.uint64(32)) % np.uint64(parts)
+
+
+def sorted_strings(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """suffix_order of strings on a copy of their bytes."""
+    at, _ = expand(start, length)
+    own = data[at]
+    del at
+    offsets = np.concatenate([[0], np.cumsum(length)])
+    prefix = string_prefixes(own, offsets)
+    return suffix_order(own, prefix, offsets[:-1], length, np.ones(len(length), dtype=np.uint64))
 
 
 # Parts: documents packed for repeated reading
@@ -350,8 +399,10 @@ def _answer_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 docs.append(np.frombuffer(raw, dtype="<i8", count=n, offset=8 + n))
                 body.append(np.frombuffer(raw, dtype=np.uint8, offset=8 + 9 * n))
             offsets = np.concatenate([[0], np.cumsum(np.concatenate(length))])
-            group, first, least = least_docs(np.concatenate(body), offsets, np.concatenate(docs))
-            del docs, body
+            data, docs = np.concatenate(body), np.concatenate(docs)
+            del body, raw
+            group, first, least = least_docs(data, offsets, docs)
+            del data, docs
             out, at = [], 0
             for k, own in enumerate(length, lo):
                 where, _ = expand(first[group[at : at + len(own)]], own - LENGTH + 1)
