@@ -225,8 +225,8 @@ def _matcher(sent, text_at: int, known: bool):
         windows, prefixes = sent.value
         for batch in batches:
             earlier = batch.num_columns - len(RESULT) if known else batch.num_columns
-            n_words, n_hit, spans, items, bad = [], [], [], [], []
             for lo, hi, data, offsets in tx.chunks(batch.column(text_at)):
+                n_words, n_hit, spans, items, bad = [], [], [], [], []
                 words, _, _, first = tx.word_hashes(data, offsets, tx.ALNUM)
                 begin, window = _hits(words, first, windows, prefixes)
                 row = np.searchsorted(first, begin, side="right") - 1
@@ -258,17 +258,17 @@ def _matcher(sent, text_at: int, known: bool):
                     n_hit.append(n)
                     items.append(sorted(names))
                     bad.append(n > 0 and 20 * n >= len(flags))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *batch.columns[:earlier],
-                    pa.array(n_words, pa.int64()),
-                    pa.array(n_hit, pa.int64()),
-                    pa.array(spans, pa.list_(pa.list_(pa.int64()))),
-                    pa.array(items, pa.list_(pa.string())),
-                    pa.array(bad, pa.bool_()),
-                ],
-                [*batch.schema.names[:earlier], *RESULT.names],
-            )
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *batch.slice(lo, hi - lo).columns[:earlier],
+                        pa.array(n_words, pa.int64()),
+                        pa.array(n_hit, pa.int64()),
+                        pa.array(spans, pa.list_(pa.list_(pa.int64()))),
+                        pa.array(items, pa.list_(pa.string())),
+                        pa.array(bad, pa.bool_()),
+                    ],
+                    [*batch.schema.names[:earlier], *RESULT.names],
+                )
 
     return match
 

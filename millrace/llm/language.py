@@ -271,10 +271,10 @@ def identify(
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         limit = max(1 << 16, (1 << 22) // len(model.languages))
+        span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())])
         for batch in batches:
-            texts = batch.column(0)
-            pred, score, spans = [], [], []
-            for lo, hi, data, offsets in tx.chunks(texts, min(limit, tx.CHUNK_BYTES)):
+            for lo, hi, data, offsets in tx.chunks(batch.column(0), min(limit, tx.CHUNK_BYTES)):
+                pred, score, spans = [], [], []
                 words = split_words(data, offsets)
                 best = viterbi(model.word_scores(words), words.first, penalty)
                 size = words.end - words.start
@@ -303,11 +303,16 @@ def identify(
                             for k in range(int(run_of[r]), int(run_of[r + 1]))
                         ]
                     )
-            columns = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
-            span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())])
-            yield pa.RecordBatch.from_arrays(
-                [*[columns[c] for c in keep], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(spans, pa.list_(span))],
-                [*keep, *RESULT.names],
-            )
+                # A chunk leaves as soon as it is judged, so neither side holds a whole batch twice.
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *[part.column(c) for c in keep],
+                        pa.array(pred, pa.string()),
+                        pa.array(score, pa.float64()),
+                        pa.array(spans, pa.list_(span)),
+                    ],
+                    [*keep, *RESULT.names],
+                )
 
     return source.mapInArrow(label, T.StructType([*shown, *RESULT]))
