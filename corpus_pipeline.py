@@ -65,16 +65,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every text, checked by decoding: `exact` says whether they give it back."""
     model = tokenizer_file("piece_bpe_32k.model")
-    coded = pieces.encode_pieces(docs.select("doc_id", "lang", "source", "text"), model)
-    back = pieces.decode_pieces(coded, model, keep=["doc_id", "lang", "source", "text", "piece_ids"])
-    return back.select(
-        "doc_id",
-        "lang",
-        "source",
-        F.size("piece_ids").cast("long").alias("n_pieces"),
-        "piece_ids",
-        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"),
+    coded = pieces.encode_pieces(
+        docs.select("doc_id", "lang", "source", "text"), model, keep=["doc_id", "lang", "source"], check=True
     )
+    n_pieces = F.size("piece_ids").cast("long").alias("n_pieces")
+    return coded.select("doc_id", "lang", "source", n_pieces, "piece_ids", "exact")
 
 
 STAGES = [

@@ -25,8 +25,8 @@ from millrace.llm.recent import Recent
 
 SPACE = "▁"
 #: Units of each of two generations, and pairs, that a worker remembers.
-CACHED_UNITS = 250_000
-CACHED_PAIRS = 600_000
+CACHED_UNITS = 150_000
+CACHED_PAIRS = 400_000
 CHUNK_CHARS = 1 << 19
 _START, _BYTES = -1, -2
 _models: dict[tuple[str, str | None], PieceModel] = {}
@@ -193,16 +193,22 @@ def _pieces_of(size: int, column: pa.Array) -> Iterator[tuple[int, int]]:
 
 
 def encode_pieces(
-    docs: DataFrame, model: str, text: str = "text", keep: list[str] | None = None, kind: str | None = None
+    docs: DataFrame,
+    model: str,
+    text: str = "text",
+    keep: list[str] | None = None,
+    kind: str | None = None,
+    check: bool = False,
 ) -> DataFrame:
     """`docs` (or its columns `keep`) with `piece_ids` (array of int) and `piece_bytes` (the same as
-    little-endian 32-bit integers), row by row without a shuffle.
+    little-endian 32-bit integers), row by row without a shuffle. With `check` also `exact`: whether
+    decoding the ids in the same task gives the text back.
 
     Whole texts are encoded. Null or empty text: no ids. A column of these names in `keep` raises. The
     automaton is built once in a worker from the model file, which every executor must have.
     """
     keep = list(docs.columns if keep is None else keep)
-    _clash(keep, ["piece_ids", "piece_bytes"])
+    _clash(keep, ["piece_ids", "piece_bytes", *["exact"] * check])
     rest = [c for c in keep if c != text]
     source = docs.select(F.col(text).cast("string").alias(text), *[F.col(f"`{c}`") for c in rest])
 
@@ -211,16 +217,22 @@ def encode_pieces(
         for whole in batches:
             for lo, hi in _pieces_of(CHUNK_CHARS, whole.column(0)):
                 batch = whole.slice(lo, hi - lo)
-                raw = pieces.encode_all([t or "" for t in batch.column(0).to_pylist()])
+                texts = [t or "" for t in batch.column(0).to_pylist()]
+                raw = pieces.encode_all(texts)
+                exact = []
+                if check:
+                    back = [pieces.decode(np.frombuffer(r, dtype="<i4").tolist()) == t for r, t in zip(raw, texts, strict=True)]
+                    exact = [pa.array(back, pa.bool_())]
                 offsets = np.cumsum([0, *(len(r) // 4 for r in raw)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), dtype="<i4")))
                 yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(c) for c in keep], ids, pa.array(raw, pa.binary())],
-                    [*keep, "piece_ids", "piece_bytes"],
+                    [*[batch.column(c) for c in keep], ids, pa.array(raw, pa.binary()), *exact],
+                    [*keep, "piece_ids", "piece_bytes", *["exact"] * check],
                 )
 
     shown = source.select(*keep).schema
     added = [T.StructField("piece_ids", T.ArrayType(T.IntegerType())), T.StructField("piece_bytes", T.BinaryType())]
+    added += [T.StructField("exact", T.BooleanType())] * check
     return source.mapInArrow(encode, T.StructType([*shown, *added]))
 
 
