@@ -254,6 +254,50 @@ def test_passages_find_planted_copies_and_leave_others(spark):
     assert passages.near_passages(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def brute_passages(a, b, n, percent):
+    """All (from, to) of a, to exclusive, of at least n shingles, similar to n or more in a row of b; distinct shingles."""
+    match = np.zeros((len(a) + 1, len(b) + 1), dtype=np.int64)
+    match[1:, 1:] = (a[:, None] == b).cumsum(axis=0).cumsum(axis=1)
+    i, j = (x.ravel() for x in np.meshgrid(range(len(a) + 1), range(len(a) + 1), indexing="ij"))
+    i, j = i[j - i >= n], j[j - i >= n]
+    x, y = (z.ravel() for z in np.meshgrid(range(len(b) + 1), range(len(b) + 1), indexing="ij"))
+    x, y = x[y - x >= n], y[y - x >= n]
+    shared = match[j][:, y] - match[i][:, y] - match[j][:, x] + match[i][:, x]
+    near = (100 * shared >= percent * ((j - i)[:, None] + (y - x) - shared)).any(axis=1)
+    return set(zip(i[near].tolist(), j[near].tolist(), strict=True))
+
+
+def test_passages_with_one_edit_match_brute_force():
+    from dataclasses import replace
+
+    # Every function's windows count, so that this is a test of the verification alone.
+    rule = replace(passages.Rule(), functions=12, enough=1)
+    rng, lost, tried = np.random.default_rng(3), [], 0
+    for size in range(50, 76):
+        for k in range(size):
+            source = rng.integers(1, 1 << 62, size).astype(np.uint64)
+            copy = source.copy()
+            copy[k] += np.uint64(1)
+            if k % 3 == 1:
+                copy = np.delete(source, k)
+            elif k % 3 == 2:
+                copy = np.insert(source, k, np.uint64(5))
+            a, b = (tx.shingle_hashes(x, rule.width) for x in (copy, source))
+            wanted = brute_passages(a, b, rule.shingles, rule.percent)
+            got = passages.matching_passages(a, b, rule)
+            for s, e, x, y, j in got:
+                shared = len(set(a[s : e + 1].tolist()) & set(b[x : y + 1].tolist()))
+                assert e - s + 1 >= rule.shingles and j == shared / (e - s + y - x + 2 - shared) >= 0.8
+            tried += bool(wanted)
+            if bool(wanted) != bool(got):
+                lost.append((size, k))
+            # Where the whole text is similar and begins and ends alike, it is the passage.
+            if (0, len(a)) in wanted and a[0] == b[0] and a[-1] == b[-1]:
+                assert [x[:2] for x in got] == [(0, len(a) - 1)] or (size, k) in lost
+    assert (lost, tried > 1000) == ([], True)
+    assert passages.aligned_passages(a, a + np.uint64(1), (0, len(a) - 1, 0, len(a) - 1), rule) == []
+
+
 # 7. Pieces
 
 
