@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -298,6 +299,43 @@ def test_passages_with_one_edit_match_brute_force():
     assert passages.aligned_passages(a, a + np.uint64(1), (0, len(a) - 1, 0, len(a) - 1), rule) == []
 
 
+def test_passages_meet_every_holder(spark):
+    rng, rows = np.random.default_rng(17), []
+    for base in range(0, 200, 10):
+        one = words(rng, 50, 1 << 40)
+        two = one.copy()
+        two[20] = two[25] = "changed"
+        for k in range(1, 8):
+            text = [*words(rng, 20, 1 << 40), *(two if k in (2, 7) else one), *words(rng, 20, 1 << 40)]
+            rows.append((base + k, " ".join(text)))
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    wanted = {(base + 7, base + 2) for base in range(0, 200, 10)}
+    got = found(passages.near_passages(docs))
+    assert wanted <= {(r[0], r[3]) for r in got}
+    # Only copies of one text are similar (36 of 56 shingles otherwise).
+    assert all((r[0] % 10 in (2, 7)) == (r[3] % 10 in (2, 7)) and r[0] // 10 == r[3] // 10 for r in got)
+
+
+def test_pairs_of_blocks_are_all_pairs(monkeypatch):
+    rng = np.random.default_rng(2)
+    key = (rng.integers(0, 4, 400) * 2 + rng.integers(0, 2, 400)).astype("<u8")
+    doc = rng.integers(0, 60, 400).astype("<i8")
+    batch = pa.RecordBatch.from_pydict({"bucket": [1], "keys": [key.tobytes()], "docs": [doc.tobytes()]})
+    expected = {}
+    for k, d in zip(key.tolist(), doc.tolist(), strict=True):
+        for other, e in zip(key.tolist(), doc.tolist(), strict=True):
+            if k % 2 == 0 and k // 2 == other // 2 and e < d:
+                expected[d, e] = expected.get((d, e), 0) | 1 << k // 2
+    for pairs, block in ((1 << 17, 1024), (50, 7), (1 << 17, 3)):
+        monkeypatch.setattr(passages, "SLAB_PAIRS", pairs)
+        monkeypatch.setattr(passages, "BLOCK_DOCS", block)
+        got = {}
+        for part in passages._expand(passages._meet_all(iter([batch]))):
+            for d, e, bits in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                got[d, e] = got.get((d, e), 0) | bits
+        assert got == expected
+
+
 # 7. Pieces
 
 
