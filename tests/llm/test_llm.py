@@ -336,6 +336,21 @@ def test_pairs_of_blocks_are_all_pairs(monkeypatch):
         assert got == expected
 
 
+def test_passages_just_above_the_limit_are_found(spark):
+    from math import comb
+
+    rule, near = passages.Rule(), passages.Rule().percent / 100
+    n = rule.functions
+    assert sum(comb(n, k) * near**k * (1 - near) ** (n - k) for k in range(rule.enough)) < 1e-4
+    rng, rows = np.random.default_rng(23), []
+    for k in range(600):
+        one = words(rng, 50, 1 << 40)
+        two = [*one[:20], "changed", *one[21:]]
+        rows += [(2 * k, " ".join(one)), (2 * k + 1, " ".join(two))]
+    got = found(passages.near_passages(spark.createDataFrame(rows, DOCS).repartition(3)), "doc_id", "source_id", "similarity")
+    assert sorted(got) == [(2 * k + 1, 2 * k, 41 / 51) for k in range(600)]
+
+
 # 7. Pieces
 
 
