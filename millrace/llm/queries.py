@@ -5,7 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, decontaminate, language, minhash, multi_index, passages, pieces, sharding, suffixes, token_files
+from millrace.llm import (
+    chat,
+    decontaminate,
+    infill,
+    language,
+    minhash,
+    mixing,
+    multi_index,
+    passages,
+    pieces,
+    sharding,
+    suffixes,
+    token_files,
+)
 from millrace.session import scratch
 
 
@@ -162,6 +175,24 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix_sources(docs, keep=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return infill.fill_in_middle(docs, keep=["doc_id"]).select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(infill.restored().cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_shard_placement": op2_shard_placement,
@@ -173,10 +204,14 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_language": op10_language,
+    "op11_mixing": op11_mixing,
+    "op12_fill_in_middle": op12_fill_in_middle,
 }
 
 ANSWERS = {
     "op2_shard_placement": sharding.placement_sql(),
     "op4_near_vectors": OP4_SQL,
     "op5_chat_format": OP5_SQL,
+    "op11_mixing": mixing.MIX_SQL,
+    "op12_fill_in_middle": infill.INFILL_SQL,
 }
