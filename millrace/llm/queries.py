@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import (
     chat,
+    collocations,
     decontaminate,
     infill,
     language,
@@ -193,6 +194,10 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_shard_placement": op2_shard_placement,
@@ -206,6 +211,7 @@ QUERIES = {
     "op10_language": op10_language,
     "op11_mixing": op11_mixing,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_collocations": op13_collocations,
 }
 
 ANSWERS = {
@@ -214,4 +220,5 @@ ANSWERS = {
     "op5_chat_format": OP5_SQL,
     "op11_mixing": mixing.MIX_SQL,
     "op12_fill_in_middle": infill.INFILL_SQL,
+    "op13_collocations": collocations.PHRASES_SQL,
 }
