@@ -141,7 +141,9 @@ class Keys:
     def split(self, run: Run, bucket_bits: int):
         """(bucket, its part of the run) in bucket order."""
         bucket = run[0] >> _U(self.high - bucket_bits)
-        first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else []
+        if not len(bucket):
+            return
+        first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
         for lo, hi in zip(first, [*first[1:], len(bucket)], strict=True):
             yield int(bucket[lo]), tuple(x[lo:hi] for x in run)
 
