@@ -6,8 +6,8 @@ key follow each other, so their exchanges are shared.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, replace
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,9 +15,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions import registry
 from millrace.functions.expressions import dot, within_size
-from millrace.functions.timegrain import DEFAULT_GRAIN
 from millrace.operators import state as st
-from millrace.operators.asof import asof_lookup, latest_state
+from millrace.operators.asof import asof_sweep, latest_state
 from millrace.operators.popularity import before, instant
 from millrace.schema import ITEM_TOTALS, USER_TOTALS, VECTOR_WIDTH
 
@@ -135,39 +134,59 @@ def _needs_vectors(groups: set[str]) -> bool:
     return bool(groups & {"user_als", "item_als"})
 
 
-def _attach_asof(queries: DataFrame, store: Store, groups: set[str], grain: str) -> DataFrame:
-    """State strictly before each query's own instant."""
+def _spread(found: DataFrame, columns: Sequence[str], groups: Mapping[str, Sequence[str]]) -> DataFrame:
+    """The groups' structs as prefixed columns."""
+    out = list(columns)
+    for group, values in groups.items():
+        prefix = _VALUES[group][2] if group in _VALUES else "b"
+        out += [F.col(f"{group}.{v}").alias(f"{prefix}_{v}") for v in values]
+    return found.select(*out)
 
-    def fetch(group: str, probes: DataFrame) -> DataFrame:
-        keys, values, _ = _VALUES[group]
-        # Vectors are needed in pairs, so unmatched probes drop out early.
-        how = "inner" if group.endswith("_als") else "left"
-        found = asof_lookup(probes, store.group(group), keys, list(values), how, grain)
-        return _prefixed(found, [*keys, "ts"], "state_ts", group)
 
-    out = queries
-    if _needs_vectors(groups):
-        out = out.join(fetch("user_als", queries).drop("uv_ts"), ["user_id", "ts"], "left")
-    if "user" in groups:
-        out = out.join(fetch("user", queries), ["user_id", "ts"], "left")
-    if _needs_vectors(groups):
-        found = fetch("item_als", queries).drop("iv_ts")
-        out = _scored(out.join(found, ["business_id", "ts"], "left"), store.vector_width)
-    if "item" in groups:
-        out = out.join(fetch("item", queries), ["business_id", "ts"], "left")
+def _attach_asof(queries: DataFrame, store: Store, groups: set[str]) -> DataFrame:
+    """State strictly before each query's own instant: one sweep by item, then one by user.
+
+    What never changes of an item is its state since the beginning of time. Categories are swept
+    by (user, category), narrow rows that return as one number for each query.
+    """
+
+    def sweep(asked: DataFrame, key: str, wanted: Mapping[str, tuple[DataFrame, list[str]]]) -> DataFrame:
+        wanted = {g: held for g, held in wanted.items() if held is not None}
+        if not wanted:
+            return asked
+        found = asof_sweep(asked, [key], {g: f.select(key, "ts", *values) for g, (f, values) in wanted.items()})
+        return _spread(
+            found,
+            asked.columns,
+            {g: (["ts", *v] if g in ("user", "item") else v) for g, (_, v) in wanted.items()},
+        )
+
+    def held(group: str, needed: bool):
+        return (store.group(group), list(_VALUES[group][1])) if needed else None
+
+    static = None
     if "business" in groups:
-        out = out.join(_static(store.group("business")), "business_id", "left")
+        always = F.lit("0001-01-01 00:00:00").cast("timestamp_ntz").alias("ts")
+        values = ["latitude", "longitude", "price_tier", *(["categories"] if "user_category" in groups else [])]
+        static = (store.group("business").select("*", always), values)
+    vectors = _needs_vectors(groups)
+    by_user = {"user": held("user", "user" in groups), "user_als": held("user_als", vectors)}
+    out = sweep(
+        queries,
+        "business_id",
+        {"business": static, "item": held("item", "item" in groups), "item_als": held("item_als", vectors)},
+    )
     if "user_category" in groups:
-        asks = queries.select("query_id", "user_id", "business_id", "ts").join(
-            st.item_categories(store.group("business")), "business_id"
-        )
+        asks = out.select("query_id", "user_id", "ts", F.explode("b_categories").alias("category"))
+        state = store.group("user_category").select("user_id", "category", "ts", "cum_count")
         matched = (
-            asks.join(fetch("user_category", asks), ["user_id", "category", "ts"], "left")
+            asof_sweep(asks, ["user_id", "category"], {"seen": state})
             .groupBy("query_id")
-            .agg(F.sum(F.coalesce("c_cum_count", F.lit(0))).alias("c_matched"))
+            .agg(F.sum(F.coalesce("seen.cum_count", F.lit(0))).alias("c_matched"))
         )
-        out = out.join(matched, "query_id", "left")
-    return out
+        out = out.drop("b_categories").join(matched, "query_id", "left")
+    out = sweep(out, "user_id", by_user)
+    return _scored(out, store.vector_width) if vectors else out
 
 
 def _attach_items(df: DataFrame, store: Store, groups: set[str]) -> DataFrame:
@@ -230,11 +249,10 @@ def asof_features(
     queries: DataFrame,
     store: Store,
     names: Sequence[str] | None = None,
-    grain: str = DEFAULT_GRAIN,
 ) -> DataFrame:
     """queries (query_id, user_id, business_id, ts, ...) plus features as of each ts."""
     groups = registry.required_groups(names)
-    return _project(_attach_asof(queries, store, groups, grain), queries.columns, names)
+    return _project(_attach_asof(queries, store, groups), queries.columns, names)
 
 
 def current_features(
@@ -296,11 +314,47 @@ def get_asof(
     business_id: str,
     ts: datetime,
 ) -> DataFrame:
-    """One value for one (user, item, instant), through the bulk path."""
+    """One value for one (user, item, instant), through the bulk path over their own state."""
     query = spark.range(1).select(
         F.lit(1).cast("bigint").alias("query_id"),
         F.lit(user_id).alias("user_id"),
         F.lit(business_id).alias("business_id"),
         instant(ts).alias("ts"),
     )
-    return asof_features(query, store, [name]).select(F.col(name).alias("value"))
+    return asof_features(query, store_of(store, user_id, business_id), [name]).select(F.col(name).alias("value"))
+
+
+def store_of(store: Store, user_id: str, business_id: str) -> Store:
+    """The part of a store that one (user, item) pair reads. Over a written store the bounds reach
+    the scan; over timelines that are still to be built they reach the events."""
+    ids = {"user_id": user_id, "business_id": business_id}
+
+    def part(frame: DataFrame | None) -> DataFrame | None:
+        if frame is None:
+            return None
+        key = "user_id" if "user_id" in frame.columns else "business_id"
+        return frame.filter(F.col(key) == ids[key])
+
+    groups = ("user", "item", "user_category", "dim", "user_als", "item_als")
+    return replace(store, **{g: part(getattr(store, g)) for g in groups})
+
+
+def pair_store(
+    events: DataFrame,
+    dim: DataFrame,
+    user_id: str,
+    business_id: str,
+    user_als: DataFrame | None = None,
+    item_als: DataFrame | None = None,
+) -> Store:
+    """The state of one (user, item) pair, built from the events of either alone."""
+    own = events.filter(F.col("user_id") == user_id)
+    whole = Store(
+        user=st.user_state(own, dim),
+        item=st.item_state(events.filter(F.col("business_id") == business_id)),
+        user_category=st.user_category_state(own, dim),
+        dim=dim,
+        user_als=user_als,
+        item_als=item_als,
+    )
+    return store_of(whole, user_id, business_id)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.functions.ranks import Level, global_rank, prefix_levels
+from millrace.functions.order import in_order
 from millrace.schema import POOL_SIZE, REVIEW
 
 
@@ -49,8 +49,8 @@ def catalog_counts(events: DataFrame, dim: DataFrame, at: datetime) -> DataFrame
 
 def popularity_rank(events: DataFrame, dim: DataFrame, at: datetime) -> DataFrame:
     """Every catalog item by (count desc, id asc), with its position."""
-    levels = [Level(F.col("pre_t_reviews"), descending=True), *prefix_levels("business_id")]
-    return global_rank(catalog_counts(events, dim, at), levels, [F.col("business_id")])
+    order = [F.desc("pre_t_reviews"), F.asc("business_id")]
+    return in_order(catalog_counts(events, dim, at), order)
 
 
 def popularity_pool(events: DataFrame, at: datetime, size: int = POOL_SIZE) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions.expressions import dot, hashed_draw
-from millrace.functions.ranks import global_rank, user_time_levels, with_segments
+from millrace.functions.order import in_order
 from millrace.operators.features import Store, asof_features, current_features
 from millrace.operators.popularity import before
 
@@ -141,12 +141,8 @@ def sampling_probability(
 def batches(examples: DataFrame, batch: int = BATCH) -> DataFrame:
     """(batch_id, slot, user_id, business_id): examples in (user, time, item) order, cut
     into batches."""
-    ranked = global_rank(
-        with_segments(examples.select("user_id", "business_id", "ts")),
-        user_time_levels(),
-        [F.col("ts"), F.col("business_id")],
-        "_n",
-    )
+    rows = examples.select("user_id", "business_id", "ts")
+    ranked = in_order(rows, [F.asc("user_id"), F.asc("ts"), F.asc("business_id")], "_n")
     at = F.col("_n") - 1
     return ranked.select(
         F.floor(at / batch).alias("batch_id"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -227,11 +228,17 @@ def as_of_features(spark, sf):
 def get_as_of(spark, sf):
     from datetime import datetime
 
-    from millrace.operators.features import get_asof
+    from millrace.operators.features import get_asof, pair_store
 
-    out = get_asof(
-        spark, full_store(spark, sf), "ui_distance_km", "u1", "b7", datetime(1999, 7, 1)
+    store = pair_store(
+        tables.events(spark, sf),
+        tables.dim(spark, sf),
+        "u1",
+        "b7",
+        tables.user_vectors(spark, sf),
+        tables.item_vectors(spark, sf),
     )
+    out = get_asof(spark, store, "ui_distance_km", "u1", "b7", datetime(1999, 7, 1))
     return rounded(out, ["value"])
 
 
@@ -349,18 +356,59 @@ def embedding_lookup(spark, sf):
     )
 
 
+DAMAGED_ITEM = "b7"
+_SAME = " AND ".join(
+    f"(a.{n} IS NOT DISTINCT FROM b.{n} OR coalesce(abs(a.{n} - b.{n}) <= greatest(1e-12, 1e-12 * greatest(abs(a.{n}), abs(b.{n}))), false))"
+    for n in FEATURE_SQL
+)
+_WRONG = " + ".join(f"(NOT {same})::BIGINT" for same in _SAME.split(" AND "))
+
+
 @register(
     "skew_check",
-    with_relations("""
-SELECT count(*) AS sampled_pairs, 9 * count(*) AS compared_values, 0::BIGINT AS mismatches,
-       true AS same_instant
-FROM (SELECT DISTINCT user_id, business_id FROM ev)"""),
+    with_relations(
+        f"""
+SELECT generation, n AS sampled_pairs, 9 * n + components AS compared_values, mismatches, embedding_mismatches,
+       generation <> 'stale' AS same_instant, generation = 'fresh' AS passed
+FROM (SELECT count(*) AS n FROM pairs),
+     (SELECT CAST(sum(len(value)) AS BIGINT) AS components FROM ue WHERE user_id IN (SELECT user_id FROM pairs)),
+     (SELECT 'fresh' AS generation, 0::BIGINT AS mismatches, 0::BIGINT AS embedding_mismatches
+      UNION ALL SELECT 'damaged', count(*), 1 FROM pairs WHERE business_id = '{DAMAGED_ITEM}'
+      UNION ALL SELECT 'stale', CAST(sum({_WRONG}) AS BIGINT), 0
+      FROM feat_now a JOIN feat_then b ON a.user_id = b.user_id AND a.business_id = b.business_id)""",
+        ("pairs", "SELECT DISTINCT user_id, business_id FROM ev"),
+        *current_relations("pairs", "(SELECT max(ts) + INTERVAL 1 MICROSECOND FROM ev)", "_now"),
+        *current_relations("pairs", "(SELECT max(ts) + INTERVAL 1 MICROSECOND FROM pre)", "_then"),
+    ),
 )
 def skew_check(spark, sf):
-    full = full_store(spark, sf)
-    pairs = tables.events(spark, sf).select("user_id", "business_id").distinct()
-    as_of = snapshot.as_of(full)
-    return snapshot.skew_summary(pairs, full, current_store(full), as_of, as_of)
+    """What three publications serve against the historical store: one as it should be, one with
+    a changed item total and a changed vector component, one of the state at the split."""
+    root = scratch(spark, "online")
+    full, events = full_store(spark, sf), tables.events(spark, sf)
+    vectors = materialized(tables.user_embedding(spark, sf), "vectors")
+    pairs = materialized(events.select("user_id", "business_id").distinct(), "pairs")
+    hit = F.when(F.col("business_id") == DAMAGED_ITEM, 1).otherwise(0)
+    damaged = replace(full, item=full.item.withColumn("cum_sum", F.col("cum_sum") + hit))
+    victim = vectors.join(pairs, "user_id", "left_semi").agg(F.min("user_id")).scalar()
+    changed = F.transform(
+        "value",
+        lambda x, i: F.when((F.col("user_id") == F.col("_victim")) & (i == 3), x + 1).otherwise(x).cast("float"),
+    )
+    spoiled = vectors.withColumn("_victim", victim).select("user_id", changed.alias("value"))
+    # A generation published from the reviews before the split.
+    stale = (split_store(spark, sf), popularity.before(events, SPLIT_T))
+    for name, (store, known, embedding) in {
+        "fresh": (full, events, vectors),
+        "damaged": (damaged, events, spoiled),
+        "stale": (*stale, vectors),
+    }.items():
+        snapshot.publish(root, store, known, user_embedding=embedding, generation=name)
+    reports = [
+        snapshot.check_skew(spark, root, pairs, full, vectors, generation=name)
+        for name in ("fresh", "damaged", "stale")
+    ]
+    return reduce(DataFrame.unionByName, reports)
 
 
 @register(

@@ -23,6 +23,7 @@ from millrace.plans.common import Query, fractional, full_store, rounded, split_
 from millrace.plans.oracle_base import (
     FEATURE_SQL,
     INTEGER_FEATURES,
+    USER_PAST,
     asof_relations,
     current_relations,
     with_relations,
@@ -349,6 +350,14 @@ EXAMPLES = [
         """
 SELECT user_id, business_id, ts, user_id || '|' || business_id || '|' || ts AS query_id, count(*) AS copies
 FROM pre WHERE business_id IN (SELECT business_id FROM dm) GROUP BY ALL""",
+    ),
+    # The past of each asked (user, instant), once for each review of it.
+    (
+        "past",
+        f"""
+SELECT q.user_id, q.ts, {USER_PAST}
+FROM (SELECT DISTINCT user_id, ts FROM asked) q LEFT JOIN hist h ON h.user_id = q.user_id AND h.ts < q.ts
+GROUP BY q.user_id, q.ts""",
     ),
     (
         "examples",
@@ -356,7 +365,7 @@ FROM pre WHERE business_id IN (SELECT business_id FROM dm) GROUP BY ALL""",
 SELECT q.user_id, q.business_id, q.ts, {FEATURE_SQL['u_reviews_to_date']} AS u_reviews_to_date,
        {FEATURE_SQL['u_mean_stars_to_date']} AS u_mean_stars_to_date,
        {FEATURE_SQL['u_days_since_last']} AS u_days_since_last
-FROM pre q ASOF LEFT JOIN ust u ON q.user_id = u.user_id AND q.ts > u.ts
+FROM pre q JOIN past u ON u.user_id = q.user_id AND u.ts = q.ts
 WHERE q.business_id IN (SELECT business_id FROM dm)""",
     ),
     (
@@ -519,10 +528,9 @@ def logq_scores(spark, sf):
 
 @register(
     "export_user_inputs",
-    with_relations(f"""
-SELECT user_id, {FEATURE_SQL['u_reviews_to_date']} AS u_reviews_to_date,
-       round({FEATURE_SQL['u_mean_stars_to_date']}, 6) AS u_mean_stars_to_date,
-       date_diff('day', u.ts, TIMESTAMP '2000-01-01') AS u_days_since_last FROM cur_u u"""),
+    with_relations("""
+SELECT user_id, count(*) AS u_reviews_to_date, round(avg(stars), 6) AS u_mean_stars_to_date,
+       DATE '2000-01-01' - CAST(max(ts) AS DATE) AS u_days_since_last FROM pre GROUP BY user_id"""),
 )
 def export_user_inputs(spark, sf):
     known = _pairs(spark, sf).select("user_id").distinct()
@@ -555,12 +563,15 @@ def pool_match(pool: str) -> str:
     return "p.pool_rank - 1 = g.pick" if pool == "pool" else same
 
 
+# A group's number: the reviews of smaller users, and the user's own up to the review.
 POSITIVES = (
     "pos",
     """
-SELECT count(*) OVER (ORDER BY p.user_id, p.ts, p.business_id ROWS UNBOUNDED PRECEDING) AS group_id,
+SELECT (earlier + row_number() OVER (PARTITION BY p.user_id ORDER BY p.ts, p.business_id))::BIGINT AS group_id,
        p.user_id, p.business_id, p.ts
-FROM pre p SEMI JOIN pool s ON s.business_id = p.business_id""",
+FROM pre p JOIN pool s ON s.business_id = p.business_id
+JOIN (SELECT a.user_id, coalesce(sum(count(*)) OVER (ORDER BY a.user_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier
+      FROM pre a JOIN pool b ON b.business_id = a.business_id GROUP BY a.user_id) o ON o.user_id = p.user_id""",
 )
 NEGATIVES_SQL = (
     "neg",

@@ -1,14 +1,21 @@
 """Shared relations of the SQL answers: the inputs, written independently in SQL.
 
-Each answer names the relations it needs; they are prepended as CTEs in this order.
+An answer gets the relations that it names, and those that they name, as CTEs in this order.
+Relations that several parts of an answer read are marked for one evaluation.
 """
 
 from __future__ import annotations
 
+import re
+
 USER_TOTALS = """count(h.user_id)::BIGINT AS cum_count, sum(h.stars)::BIGINT AS cum_sum,
        sum(h.lat_e7)::BIGINT AS cum_lat_e7, sum(h.lng_e7)::BIGINT AS cum_lng_e7,
        count(h.lat_e7)::BIGINT AS cum_geo_n, sum(h.price_tier)::BIGINT AS cum_price,
        count(h.price_tier)::BIGINT AS cum_price_n"""
+# What the earlier reviews of a user say of that user, and of an item of that item.
+USER_PAST = """count(h.user_id) AS n, max(h.ts) AS last_ts, avg(h.stars) AS stars, avg(h.price_tier) AS tier,
+       avg(h.lat_e7) / 10000000.0::DOUBLE AS lat, avg(h.lng_e7) / 10000000.0::DOUBLE AS lng"""
+ITEM_PAST = "count(h.business_id) AS n, avg(h.stars) AS stars"
 ITEM_TOTALS = "count(h.business_id)::BIGINT AS cum_count, sum(h.stars)::BIGINT AS cum_sum"
 
 RELATIONS: dict[str, str] = {
@@ -93,13 +100,13 @@ FROM dm d LEFT JOIN pre p USING (business_id) GROUP BY ALL""",
 SELECT business_id, name, n AS pre_t_reviews,
        row_number() OVER (ORDER BY n DESC, business_id) AS rank
 FROM counted""",
-    # Fixed value: the pool holds 500 places.
+    # Fixed value: the pool holds 500 places. A place's rank is one more than the number of places
+    # with more reviews, or as many and a smaller id.
+    "visited": "SELECT business_id, count(*) AS n FROM pre GROUP BY business_id",
     "pool": """
-SELECT business_id, n, pool_rank FROM (
-  SELECT business_id, count(user_id) AS n,
-         rank() OVER (ORDER BY count(user_id) DESC, business_id) AS pool_rank
-  FROM ev WHERE ts < TIMESTAMP '2000-01-01' GROUP BY business_id)
-WHERE pool_rank <= 500""",
+SELECT a.business_id, a.n, count(b.business_id) + 1 AS pool_rank
+FROM visited a LEFT JOIN visited b ON b.n > a.n OR (b.n = a.n AND b.business_id < a.business_id)
+GROUP BY a.business_id, a.n HAVING count(b.business_id) < 500""",
     "truth": """
 SELECT DISTINCT user_id, business_id FROM ev
 WHERE ts >= TIMESTAMP '2000-01-01' AND user_id IN (SELECT user_id FROM pre)""",
@@ -123,22 +130,29 @@ SELECT business_id, max(ts) AS ts, max_by(value, ts) AS value
 FROM iv WHERE ts < TIMESTAMP '2000-01-01' GROUP BY business_id""",
 }
 
-CENTROID_LAT = "(u.cum_lat_e7 / (10000000.0::DOUBLE * NULLIF(u.cum_geo_n, 0)))"
-CENTROID_LNG = "(u.cum_lng_e7 / (10000000.0::DOUBLE * NULLIF(u.cum_geo_n, 0)))"
+def _chord_km(lat1: str, lng1: str, lat2: str, lng2: str) -> str:
+    """Distance on the sphere from the straight line between two points of the unit sphere."""
+
+    def point(lat: str, lng: str) -> list[str]:
+        lat, lng = f"radians({lat})", f"radians({lng})"
+        return [f"cos({lat}) * cos({lng})", f"cos({lat}) * sin({lng})", f"sin({lat})"]
+
+    gaps = [f"power({x} - {y}, 2)" for x, y in zip(point(lat1, lng1), point(lat2, lng2), strict=True)]
+    # Fixed value: a sphere of 6371 km.
+    return f"2 * 6371.0::DOUBLE * asin(sqrt({' + '.join(gaps)}) / 2)"
 
+
+#: u, i: the user's and the item's past; b: the item; c, v: shared categories and vector product.
 FEATURE_SQL: dict[str, str] = {
-    "u_reviews_to_date": "CAST(coalesce(u.cum_count, 0) AS BIGINT)",
-    "u_mean_stars_to_date": "u.cum_sum / u.cum_count",
-    "u_days_since_last": "date_diff('day', u.ts, q.ts)",
-    "i_reviews_to_date": "CAST(coalesce(i.cum_count, 0) AS BIGINT)",
-    "i_mean_stars_to_date": "i.cum_sum / i.cum_count",
-    "ui_distance_km": f"""2 * 6371.0::DOUBLE * asin(sqrt(
-        pow(sin(radians(b.latitude - {CENTROID_LAT}) / 2), 2)
-        + cos(radians({CENTROID_LAT})) * cos(radians(b.latitude))
-        * pow(sin(radians(b.longitude - {CENTROID_LNG}) / 2), 2)))""",
-    "ui_category_affinity": "c.matched / NULLIF(coalesce(u.cum_count, 0), 0)",
+    "u_reviews_to_date": "coalesce(u.n, 0)",
+    "u_mean_stars_to_date": "u.stars",
+    "u_days_since_last": "CAST(q.ts AS DATE) - CAST(u.last_ts AS DATE)",
+    "i_reviews_to_date": "coalesce(i.n, 0)",
+    "i_mean_stars_to_date": "i.stars",
+    "ui_distance_km": _chord_km("u.lat", "u.lng", "b.latitude", "b.longitude"),
+    "ui_category_affinity": "CASE WHEN u.n > 0 THEN c.matched / u.n END",
     "ui_als_score": "v.score",
-    "ui_price_delta": "abs(b.price_tier - u.cum_price / NULLIF(u.cum_price_n, 0))",
+    "ui_price_delta": "CASE WHEN u.tier > b.price_tier THEN u.tier - b.price_tier ELSE b.price_tier - u.tier END",
 }
 INTEGER_FEATURES = ("u_reviews_to_date", "u_days_since_last", "i_reviews_to_date")
 
@@ -148,10 +162,23 @@ def rounded(name: str) -> str:
     return expr if name in INTEGER_FEATURES else f"round({expr}, 6)"
 
 
+#: Read by several parts of an answer, or under an inequality join: evaluated once.
+ONCE = {"ev", "dm", "dcat", "hist", "liked", "qs", "pos", "cand", "examples", "fitted", "user_vector", "topk", "retrieved", "visited", "uv", "iv"}
+
+
 def with_relations(sql: str, *extra: tuple[str, str]) -> str:
-    """Prepend the shared relations (and extra ones, after them) to a query."""
-    parts = [f"{name} AS ({body})" for name, body in [*RELATIONS.items(), *extra]]
-    return "WITH " + ",\n".join(parts) + "\n" + sql
+    """Prepend to a query the relations, shared ones and then extra ones, that it leads to."""
+    known = {**RELATIONS, **dict(extra)}
+    needed: set[str] = set()
+    open_ = [sql]
+    while open_:
+        named = set(re.findall(r"[A-Za-z_]+\w*", open_.pop())) & (known.keys() - needed)
+        needed |= named
+        open_ += [known[name] for name in named]
+    parts = [
+        f"{name} AS {'MATERIALIZED ' if name in ONCE else ''}({body})" for name, body in known.items() if name in needed
+    ]
+    return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + sql
 
 
 def asof_relations(queries: str) -> list[tuple[str, str]]:
@@ -161,14 +188,14 @@ def asof_relations(queries: str) -> list[tuple[str, str]]:
         (
             "by_user",
             f"""
-SELECT q.query_id, max(h.ts) AS ts, {USER_TOTALS}
+SELECT q.query_id, {USER_PAST}
 FROM {queries} q LEFT JOIN hist h ON h.user_id = q.user_id AND h.ts < q.ts
 GROUP BY q.query_id""",
         ),
         (
             "by_item",
             f"""
-SELECT q.query_id, {ITEM_TOTALS}
+SELECT q.query_id, {ITEM_PAST}
 FROM {queries} q LEFT JOIN hist h ON h.business_id = q.business_id AND h.ts < q.ts
 GROUP BY q.query_id""",
         ),
@@ -206,20 +233,28 @@ LEFT JOIN dm b ON b.business_id = q.business_id""",
     ]
 
 
-def current_relations(queries: str) -> list[tuple[str, str]]:
-    """`feat` (user_id, business_id, features) at the split for distinct pairs."""
-    columns = ", ".join(
-        f"{expr.replace('q.ts', chr(40) + 'TIMESTAMP ' + chr(39) + '2000-01-01' + chr(39) + chr(41))} AS {name}"
-        for name, expr in FEATURE_SQL.items()
-    )
+def current_relations(queries: str, at: str = "TIMESTAMP '2000-01-01'", mark: str = "") -> list[tuple[str, str]]:
+    """`feat` (user_id, business_id, features) of distinct pairs, all at one instant. A mark is
+    appended to the relations' names, so that an answer may have them for several instants."""
+    relations = _at_instant(queries, at)
+    own = "|".join(name for name, _ in relations)
+    return [(name + mark, re.sub(rf"\b({own})\b", rf"\g<1>{mark}", body)) for name, body in relations]
+
+
+def _at_instant(queries: str, at: str) -> list[tuple[str, str]]:
+    columns = ", ".join(f"{expr.replace('q.ts', at)} AS {name}" for name, expr in FEATURE_SQL.items())
     return [
+        ("past_u", f"SELECT h.user_id, {USER_PAST} FROM hist h WHERE h.ts < {at} GROUP BY h.user_id"),
+        ("past_i", f"SELECT h.business_id, {ITEM_PAST} FROM hist h WHERE h.ts < {at} GROUP BY h.business_id"),
+        ("past_c", f"SELECT h.user_id, h.category, count(*) AS n FROM liked h WHERE h.ts < {at} GROUP BY h.user_id, h.category"),
+        ("last_uv", f"SELECT user_id, max_by(value, ts) AS value FROM uv WHERE ts < {at} GROUP BY user_id"),
+        ("last_iv", f"SELECT business_id, max_by(value, ts) AS value FROM iv WHERE ts < {at} GROUP BY business_id"),
         (
             "by_category",
             f"""
-SELECT q.user_id, q.business_id, count(h.user_id) AS matched
+SELECT q.user_id, q.business_id, coalesce(sum(h.n), 0) AS matched
 FROM {queries} q JOIN dcat x ON x.business_id = q.business_id
-LEFT JOIN liked h ON h.user_id = q.user_id AND h.category = x.category
-     AND h.ts < TIMESTAMP '2000-01-01'
+LEFT JOIN past_c h ON h.user_id = q.user_id AND h.category = x.category
 GROUP BY q.user_id, q.business_id""",
         ),
         (
@@ -228,12 +263,12 @@ GROUP BY q.user_id, q.business_id""",
 SELECT q.user_id, q.business_id, {columns}
 FROM {queries} q
 LEFT JOIN by_category c ON (c.user_id, c.business_id) = (q.user_id, q.business_id)
-LEFT JOIN cur_u u ON u.user_id = q.user_id
-LEFT JOIN cur_i i ON i.business_id = q.business_id
+LEFT JOIN past_u u ON u.user_id = q.user_id
+LEFT JOIN past_i i ON i.business_id = q.business_id
 LEFT JOIN dm b ON b.business_id = q.business_id
-LEFT JOIN (SELECT x.user_id, y.business_id, list_dot_product(x.value, y.value) AS score
-           FROM {queries} p JOIN cur_uv x ON x.user_id = p.user_id
-           JOIN cur_iv y ON y.business_id = p.business_id) v
+LEFT JOIN (SELECT p.user_id, p.business_id, list_dot_product(x.value, y.value) AS score
+           FROM {queries} p JOIN last_uv x ON x.user_id = p.user_id
+           JOIN last_iv y ON y.business_id = p.business_id) v
      ON (v.user_id, v.business_id) = (q.user_id, q.business_id)""",
         ),
     ]

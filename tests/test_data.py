@@ -5,15 +5,18 @@ from __future__ import annotations
 import json
 import random
 from datetime import datetime
+from itertools import accumulate
 
 import pytest
 from conftest import make_dim, make_events, rows
 from pyspark.sql import functions as F
 
-from millrace.functions.ranks import Level, global_rank, prefix_levels
+from millrace.functions import order
+from millrace.functions.order import in_order
 from millrace.operators import ingest, popularity, state
 from millrace.operators.asof import latest_state
 from millrace.schema import DIM_COLUMNS
+from millrace.session import materialized
 from millrace.sources import raw
 
 
@@ -94,15 +97,35 @@ def test_popularity_is_right_exclusive_and_covers_the_catalog(spark):
     assert rows(pool, "pool_rank", "business_id") == [(1, "b2"), (2, "b3")]
 
 
-@pytest.mark.parametrize("partitions", [1, 7])
-def test_global_rank_equals_a_full_sort(spark, partitions):
+@pytest.mark.parametrize("ranges", [1, 7, 60])
+def test_positions_equal_a_full_sort(spark, ranges):
+    """With 60 ranges some are empty; ties in all but the last key are many."""
     rng = random.Random(3)
-    data = [(f"u{rng.randrange(400)}", rng.randrange(4), i) for i in range(600)]
-    df = spark.createDataFrame(data, "id string, n int, x int").repartition(partitions)
-    levels = [Level(F.col("n"), descending=True), *prefix_levels("id", (2, 3))]
-    got = {r.x: r.rank for r in global_rank(df, levels, [F.col("id"), F.col("x")]).collect()}
-    order = sorted(data, key=lambda r: (-r[1], r[0], r[2]))
-    assert got == {r[2]: i for i, r in enumerate(order, 1)}
+    data = [(f"u{rng.randrange(40)}" if i % 9 else None, rng.randrange(4) if i % 5 else None, i) for i in range(600)]
+    df = spark.createDataFrame(data, "id string, n int, x int").repartition(5)
+    width = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
+    try:
+        got = in_order(df, [F.desc("n"), F.asc("id"), F.asc("x")], "rank", {"so_far": "n"}).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+    wanted = sorted(data, key=lambda r: (r[1] is None, -(r[1] or 0), r[0] is not None, r[0] or "", r[2]))
+    assert {r.x: r["rank"] for r in got} == {r[2]: i for i, r in enumerate(wanted, 1)}
+    totals = {r[2]: t for r, t in zip(wanted, accumulate(r[1] or 0 for r in wanted))}
+    assert {r.x: r.so_far for r in got} == totals
+
+
+def test_positions_of_ids_with_a_common_prefix_are_spread(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(order, "materialized", lambda df, name: written.append(materialized(df, name)) or written[-1])
+    ids = spark.range(100_000).select(F.concat(F.lit("x" * 20), F.col("id").cast("string")).alias("id"))
+    ranked = in_order(ids, [F.asc("id")])
+    held = written[0].groupBy("_metadata.file_path").count().collect()  # a file for each range
+    assert len(held) == 4 and max(r["count"] for r in held) < 40_000
+    assert ranked.agg(F.count_distinct("rank"), F.min("rank"), F.max("rank")).first()[:] == (100_000, 1, 100_000)
+    assert in_order(ids.filter("false"), [F.asc("id")]).count() == 0
+    with pytest.raises(ValueError):
+        in_order(ids, [F.asc("id")], "ID")
 
 
 def random_events(spark, n=800, users=12, items=15, seed=5):

@@ -90,15 +90,26 @@ def brute_force(probes, timeline):
     return found
 
 
-@pytest.mark.parametrize("limit", [0, 120, 10**6])
-@pytest.mark.parametrize("grain", ["month"])
-def test_asof_equals_brute_force(spark, limit, grain):
+@pytest.mark.parametrize("ranges", [1, 7, 40])
+def test_asof_equals_brute_force(spark, ranges):
+    """With 40 ranges a key's history is cut several times, and some ranges hold no state."""
+    width = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5 if ranges == 7 else 10000)
+    try:
+        check_asof(spark)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def check_asof(spark):
     events, dim = random_events(spark, 400), random_dim(spark)
     state = user_state(events, dim)
     probes = events.select("user_id", "ts").union(
         events.select("user_id", (F.col("ts") + F.expr("INTERVAL 40 DAYS")).alias("ts"))
     )
-    got = asof_times(probes, state, ["user_id"], grain, limit).collect()
+    got = asof_times(probes, state, ["user_id"]).collect()
     wanted = brute_force(
         {(r.user_id, r.ts) for r in probes.collect()},
         [(r.user_id, r.ts) for r in state.select("user_id", "ts").collect()],
@@ -116,6 +127,10 @@ def test_inner_asof_drops_unmatched(spark):
     assert rows(inner, "query_id") == [(1,), (2,), (4,)]
 
 
+def embedding_of(spark, *users):
+    return spark.createDataFrame([(u, [0.5] * 64) for u in users], "user_id string, value array<float>")
+
+
 def test_snapshot_round_trip_and_refusals(spark, tmp_path):
     root = str(tmp_path / "online")
     with pytest.raises(snapshot.SnapshotUnavailable):
@@ -125,9 +140,11 @@ def test_snapshot_round_trip_and_refusals(spark, tmp_path):
     row = snapshot.manifest(spark, root).first()
     assert (row["users"], row["items"], row["businesses"], row["user_reviewed"]) == (2, 2, 3, 2)
     assert row["as_of"] == datetime(2017, 7, 4, 0, 0, 0, 1)
-    current, reviewed, _ = snapshot.open_snapshot(spark, root)
-    current = replace(current, vector_width=3)
-    assert rows(reviewed) == [("ana", "north"), ("ana", "south"), ("ben", "north")]
+    pinned = snapshot.open_snapshot(spark, root)
+    current = replace(pinned.store, vector_width=3)
+    assert rows(pinned.reviewed) == [("ana", "north"), ("ana", "south"), ("ben", "north")]
+    with pytest.raises(snapshot.SnapshotUnavailable, match="publish again"):
+        pinned.embedding()
     pairs = make_queries(spark, ASKED).select("user_id", "business_id").distinct()
     at = snapshot.as_of(store)
     clean = snapshot.skew_summary(pairs, store, current, at, F.lit(row["as_of"]).cast("timestamp_ntz"))
@@ -139,18 +156,77 @@ def test_snapshot_round_trip_and_refusals(spark, tmp_path):
     offline, online = snapshot.compared_reads(pairs, store, wrong, at, at)
     bad = snapshot.skew_mismatches(offline, online)
     assert {(r.query_id, r.feature) for r in bad.collect()} == {("ana|south", "i_mean_stars_to_date")}
-    # A failed publication leaves the pointer where it was.
+    # A failed publication is never seen, leaves nothing behind and may be repeated.
     broken = replace(store, user=store.user.withColumn("cum_sum", F.raise_error(F.lit("boom")).cast("bigint")))
     with pytest.raises(Exception, match="boom"):
         snapshot.publish(root, broken, events, generation="two")
-    assert snapshot.active_generation(spark, root) == "one"
-    snapshot.publish(root, store, events, generation="three")
-    assert snapshot.active_generation(spark, root) == "three"
-    path = f"{root}/gen=three/manifest"
-    kept = spark.createDataFrame(spark.read.parquet(path).collect(), spark.read.parquet(path).schema)
-    kept.withColumn("schema_version", F.lit(6)).write.mode("overwrite").parquet(path)
+    assert snapshot.active_generation(spark, root) == "one" and not (tmp_path / "online" / "gen=two").exists()
+    # A name that exists is refused, and what it names stays as it is.
+    with pytest.raises(ValueError, match="exists"):
+        snapshot.publish(root, store, events, generation="one")
+    assert pinned.reviewed.count() == 3
+    snapshot.publish(root, store, events, generation="two")
+    assert snapshot.active_generation(spark, root) == "two"
+    newer = snapshot.generations(spark, root).filter("generation = 'two'").withColumn("version", F.lit(3).cast("bigint"))
+    newer.withColumn("generation", F.lit("other layout")).withColumn("schema_version", F.lit(6)).coalesce(1).write.mode(
+        "append").parquet(f"{root}/generations")
     with pytest.raises(snapshot.SnapshotUnavailable, match="layout"):
         snapshot.manifest(spark, root)
+    assert snapshot.manifest(spark, root, "two").count() == 1
+
+
+def test_readers_keep_the_generation_that_they_pinned(spark, tmp_path):
+    root = str(tmp_path / "online")
+    store, events = golden_store(spark), make_events(spark, PAST)
+    snapshot.publish(root, store, events, embedding_of(spark, "ana"), generation="old")
+    pinned = snapshot.open_snapshot(spark, root)
+    later = golden_store(spark, PAST + FUTURE)
+    snapshot.publish(root, later, make_events(spark, PAST + FUTURE), embedding_of(spark, "ana", "ben"), generation="new")
+    assert snapshot.active_generation(spark, root) == "new"
+    assert (pinned.generation, rows(pinned.embedding(), "user_id")) == ("old", [("ana",)])
+    assert rows(snapshot.open_snapshot(spark, root).embedding(), "user_id") == [("ana",), ("ben",)]
+    assert rows(snapshot.open_snapshot(spark, root, "old").reviewed) == rows(pinned.reviewed)
+    # Nothing is retired within the grace; then all but the active one, for good.
+    assert snapshot.retire(spark, root) == []
+    due = datetime(2100, 1, 1)
+    assert snapshot.retire(spark, root, now=due) == ["old"] and snapshot.retire(spark, root, now=due) == []
+    assert not (tmp_path / "online" / "gen=old").exists()
+    with pytest.raises(snapshot.SnapshotUnavailable, match="retired"):
+        snapshot.open_snapshot(spark, root, "old")
+    with pytest.raises(ValueError, match="exists"):
+        snapshot.publish(root, store, events, generation="old")
+    assert snapshot.open_snapshot(spark, root).reviewed.count() > 3
+
+
+@pytest.mark.parametrize("vector", [None, [1.0, None, 2.0], [1.0, 2.0]])
+def test_broken_vectors_are_not_published(spark, tmp_path, vector):
+    root = str(tmp_path / "online")
+    store, events = golden_store(spark), make_events(spark, PAST)
+    odd = spark.createDataFrame([("east", datetime(2017, 1, 1), vector)], store.item_als.schema)
+    with pytest.raises(ValueError, match="item_als is unusable"):
+        snapshot.publish(root, replace(store, item_als=store.item_als.unionByName(odd)), events)
+    with pytest.raises(snapshot.SnapshotUnavailable):
+        snapshot.active_generation(spark, root)
+
+
+def test_skew_check_reads_the_publication(spark, tmp_path):
+    root = str(tmp_path / "online")
+    events = make_events(spark, PAST + FUTURE)
+    store = golden_store(spark, PAST + FUTURE)
+    vectors = embedding_of(spark, "ana", "ben")
+    pairs = events.select("user_id", "business_id").distinct()
+    snapshot.publish(root, store, events, vectors, generation="fresh")
+    stale = golden_store(spark, PAST)
+    lacks = vectors.filter("user_id = 'ana'")
+    snapshot.publish(root, stale, make_events(spark, PAST), lacks, generation="stale")
+    clean, late = (
+        snapshot.check_skew(spark, root, pairs, store, vectors, generation=g).first().asDict() for g in ("fresh", "stale")
+    )
+    n = pairs.count()
+    assert clean == {"generation": "fresh", "sampled_pairs": n, "compared_values": 9 * n + 128, "mismatches": 0,
+                     "embedding_mismatches": 0, "same_instant": True, "passed": True}
+    assert late["mismatches"] > 0 and late["embedding_mismatches"] == 64
+    assert not late["same_instant"] and not late["passed"]
 
 
 def test_embedding_width_and_cold_users(spark):
