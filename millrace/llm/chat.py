@@ -8,13 +8,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Stands before a role that is meant as it is spelled. No code of a mark.
+RAW = "\\a"
+
+
 @dataclass(frozen=True)
 class Template:
     """Markers of a turn, what carries loss, and which role may follow which state.
 
     A turn is `head` + role + `mid` + text + `end`. Inside roles and texts every backslash and
     every control string is replaced by a backslash code (see `escaped`), so the markers occur
-    in the output only as markers and the replacement can be undone.
+    in the output only as markers and the replacement can be undone. A role that is spelled like
+    another role's name here gets the code `RAW` before it.
     """
 
     head: str = "### "
@@ -36,6 +41,10 @@ class Template:
     )
     accepting: tuple[str, ...] = ("answered",)
 
+    def clashing(self) -> list[str]:
+        """Spellings that would be read back as another role."""
+        return sorted({name for role, name in self.names.items() if name != role})
+
     def codes(self) -> list[tuple[str, str]]:
         # Longest first, so that a marker inside another one cannot split it.
         marks = sorted({self.end, self.head, self.mid}, key=lambda m: (-len(m), m))
@@ -83,10 +92,16 @@ def format_chats(
         ).alias("turn"),
     )
     named = F.create_map(*[F.lit(v) for pair in template.names.items() for v in pair])
+
+    def shown(role: Column) -> Column:
+        spelled = escaped(F.coalesce(named[role], role), template)
+        as_is = role.isin(*template.clashing()) & named[role].isNull()
+        return F.when(as_is, F.concat(F.lit(RAW), spelled)).otherwise(spelled)
+
     pieces = lambda t: F.struct(
         F.concat(
             F.lit(template.head),
-            escaped(F.coalesce(named[t["r"]], t["r"]), template),
+            shown(t["r"]),
             F.lit(template.mid),
         ).alias("open"),
         escaped(t["x"], template).alias("body"),
@@ -157,9 +172,11 @@ def read_chats(formatted: DataFrame, template: Template = Template()) -> DataFra
 
     def turn(p: Column) -> Column:
         at = F.instr(p, template.mid)
-        name = unescaped(F.substring(p, F.lit(len(template.head) + 1), at - len(template.head) - 1), template)
+        spelled = F.substring(p, F.lit(len(template.head) + 1), at - len(template.head) - 1)
+        name = unescaped(spelled, template)
+        as_is = unescaped(F.substring(spelled, F.lit(len(RAW) + 1), F.length(spelled)), template)
         return F.struct(
-            F.coalesce(back[name], name).alias("role"),
+            F.when(F.startswith(spelled, F.lit(RAW)), as_is).otherwise(F.coalesce(back[name], name)).alias("role"),
             unescaped(F.substring(p, at + F.length(mid), F.length(p)), template).alias("text"),
         )
 

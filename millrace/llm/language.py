@@ -250,7 +250,7 @@ RESULT = T.StructType(
 
 
 def identify(
-    docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, penalty: float = SWITCH_PENALTY
+    docs: DataFrame, model: Model | None, text: str = "text", keep: list[str] | None = None, penalty: float = SWITCH_PENALTY
 ) -> DataFrame:
     """`docs` (or its columns `keep`) with lang_pred, score and lang_spans.
 
@@ -258,7 +258,8 @@ def identify(
     text) of one language. lang_pred is the language with the most word bytes (ties: first by name),
     score its share of all word bytes. Null text, empty text and text without any letter: `und`,
     score 0, no spans. Texts are read whole, rows stay where they are; rows that repeat are
-    judged alike. A name in `keep` equal to a result column raises.
+    judged alike. A name in `keep` equal to a result column raises. Without a model, where nothing
+    could be learned, every row is `und`.
     """
     keep = list(docs.columns if keep is None else keep)
     if {c.lower() for c in keep} & set(RESULT.names):
@@ -266,6 +267,9 @@ def identify(
     rest = [c for c in keep if c != text]
     source = docs.select(F.col(text).cast("string").alias(text), *[F.col(f"`{c}`") for c in rest])
     shown = source.select(*keep).schema
+    if model is None:
+        nothing = [F.lit(UNKNOWN), F.lit(0.0), F.array().cast(RESULT["lang_spans"].dataType)]
+        return source.select(*keep, *[c.alias(n) for c, n in zip(nothing, RESULT.names, strict=True)])
     sent = docs.sparkSession.sparkContext.broadcast(model)  # languages x buckets, whatever the input
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

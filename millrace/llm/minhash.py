@@ -250,10 +250,15 @@ def near_duplicates(docs: DataFrame, rule: NearDup = NearDup(), doc_id: str = "d
         ),
         "classes",
     )
-    reps = members.filter("sig is not null").select("doc", "sig")
+    # A repeated row is one row here: else n copies of two near texts would meet n * n times.
+    reps = members.filter("sig is not null").select("doc", "sig").distinct()
     prefixes = materialized(_prefixes(reps, rule), "prefixes")
     texts = materialized(
-        source.join(prefixes.select("doc").distinct(), "doc", "left_semi"), "candidate-texts"
+        source.join(prefixes.select("doc").distinct(), "doc", "left_semi")
+        .withColumn("same", F.xxhash64("text"))
+        .dropDuplicates(["doc", "same"])
+        .drop("same"),
+        "candidate-texts",
     )
     sigs = reps.join(prefixes.select("doc").distinct(), "doc", "left_semi")
 

@@ -113,7 +113,8 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY turn NULLS FIRST, r, x)) AS turns_sha256,
   coalesce(sum(length(x)) FILTER (r = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(x, '' ORDER BY turn NULLS FIRST, r, x) FILTER (r = 'assistant'), '')) AS loss_sha256,
-  sum(4 + length(r) + 2 + length(x) + {_ADDED} + 7)::BIGINT AS formatted_chars
+  sum(4 + length(r) + CASE WHEN r IN ('System', 'User', 'Assistant') THEN 2 ELSE 0 END
+    + 2 + length(x) + {_ADDED} + 7)::BIGINT AS formatted_chars
 FROM rows_ GROUP BY conv_id
 """
 
@@ -171,7 +172,8 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2
-    model = language.train(docs.filter(~held_out))
+    labelled = docs.filter(~held_out & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    model = None if labelled.isEmpty() else language.train(labelled)
     found = language.identify(docs.select("doc_id", "text"), model, keep=["doc_id"])
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
