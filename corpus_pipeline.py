@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.order import in_order
 from millrace.llm import decontaminate, language, minhash, pieces, suffixes
 from millrace.llm.queries import tokenizer_file
 from millrace.session import materialized
@@ -29,12 +30,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each near-duplicate group; of rows that repeat a
-    kept id, one. Documents with a null id or without words stay."""
-    decided = minhash.near_duplicates(docs)
-    dropped = decided.filter("doc_id is not null and not kept").select("doc_id").distinct()
-    left = docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti").select(*COLUMNS)
-    return left.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.filter("doc_id is null"))
+    """Keeps one row of each near-duplicate group, that with the least id (null ids last).
+
+    Rows are judged by themselves, whatever id they have: each gets its position in the order of
+    ids as its key, so rows that share an id stay if their texts differ, and go if they repeat.
+    Rows without words stay."""
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.xxhash64("lang", "source", "n_chars")]
+    rows = in_order(docs.select(*COLUMNS), order, "row")
+    dropped = minhash.near_duplicates(rows, doc_id="row").filter("not kept").select(F.col("doc_id").alias("row"))
+    return rows.join(dropped, "row", "left_anti").select(*COLUMNS)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
