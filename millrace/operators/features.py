@@ -147,7 +147,8 @@ def _attach_asof(queries: DataFrame, store: Store, groups: set[str]) -> DataFram
     """State strictly before each query's own instant: one sweep by item, then one by user.
 
     What never changes of an item is its state since the beginning of time. Categories are swept
-    by (user, category), narrow rows that return as one number for each query.
+    by (user, category), narrow rows that return as one number for each query. Of a vector only
+    the instant is swept; the vectors themselves meet in joins afterwards.
     """
 
     def sweep(asked: DataFrame, key: str, wanted: Mapping[str, tuple[DataFrame, list[str]]]) -> DataFrame:
@@ -158,11 +159,12 @@ def _attach_asof(queries: DataFrame, store: Store, groups: set[str]) -> DataFram
         return _spread(
             found,
             asked.columns,
-            {g: (["ts", *v] if g in ("user", "item") else v) for g, (_, v) in wanted.items()},
+            {g: (v if g == "business" else ["ts", *v]) for g, (_, v) in wanted.items()},
         )
 
     def held(group: str, needed: bool):
-        return (store.group(group), list(_VALUES[group][1])) if needed else None
+        values = [] if group.endswith("_als") else list(_VALUES[group][1])
+        return (store.group(group), values) if needed else None
 
     static = None
     if "business" in groups:
@@ -186,10 +188,16 @@ def _attach_asof(queries: DataFrame, store: Store, groups: set[str]) -> DataFram
         )
         out = out.drop("b_categories").join(matched, "query_id", "left")
     out = sweep(out, "user_id", by_user)
-    return _scored(out, store.vector_width) if vectors else out
+    if not vectors:
+        return out
+    for group in ("user_als", "item_als"):
+        (key,), _, prefix = _VALUES[group]
+        state = store.group(group).select(key, F.col("ts").alias(f"{prefix}_ts"), F.col("value").alias(f"{prefix}_value"))
+        out = out.join(state, [key, f"{prefix}_ts"], "left")
+    return _scored(out, store.vector_width)
 
 
-def _attach_items(df: DataFrame, store: Store, groups: set[str]) -> DataFrame:
+def item_side(df: DataFrame, store: Store, groups: set[str]) -> DataFrame:
     """df plus everything the item side contributes at the current instant.
 
     All joins share the key, so a df that has to be shuffled is shuffled once.
@@ -207,7 +215,7 @@ def _attach_items(df: DataFrame, store: Store, groups: set[str]) -> DataFrame:
     return df.drop("iv_ts")
 
 
-def _attach_users(df: DataFrame, store: Store, groups: set[str]) -> DataFrame:
+def user_side(df: DataFrame, store: Store, groups: set[str]) -> DataFrame:
     """df plus the user side: totals, vector and taste (category -> count).
 
     The taste map has one entry per category the user has touched, so it is bounded by
@@ -239,7 +247,7 @@ def _matched(groups: set[str], attached: DataFrame, store: Store) -> DataFrame:
     return attached
 
 
-def _project(attached: DataFrame, keep: Sequence[str], names: Sequence[str] | None) -> DataFrame:
+def project_features(attached: DataFrame, keep: Sequence[str | Column], names: Sequence[str] | None) -> DataFrame:
     return attached.select(
         *keep, *[f.build().alias(f.name) for f in registry.resolve(names)]
     )
@@ -252,7 +260,7 @@ def asof_features(
 ) -> DataFrame:
     """queries (query_id, user_id, business_id, ts, ...) plus features as of each ts."""
     groups = registry.required_groups(names)
-    return _project(_attach_asof(queries, store, groups), queries.columns, names)
+    return project_features(_attach_asof(queries, store, groups), queries.columns, names)
 
 
 def current_features(
@@ -267,8 +275,8 @@ def current_features(
     groups = registry.required_groups(names)
     out = queries.withColumn("ts", _instant(as_of))
     keep = out.columns
-    out = _attach_users(_attach_items(out, store, groups), store, groups)
-    return _project(_matched(groups, out, store), keep, names)
+    out = user_side(item_side(out, store, groups), store, groups)
+    return project_features(_matched(groups, out, store), keep, names)
 
 
 def shared_list_features(
@@ -289,8 +297,8 @@ def shared_list_features(
     """
     names = registry.online_features() if names is None else names
     groups = registry.required_groups(names)
-    listed = _attach_items(short_list, store, groups)
-    asked = _attach_users(users.select("user_id"), store, groups)
+    listed = item_side(short_list, store, groups)
+    asked = user_side(users.select("user_id"), store, groups)
     # Few, small user rows grow `size`-fold here, so they are spread by number, which
     # adaptive execution leaves alone; the later per-user ordering reuses the layout.
     width = int(users.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -299,7 +307,7 @@ def shared_list_features(
     bounded = F.broadcast(within_size(listed, size, position))
     out = slots.join(bounded, position).withColumn("ts", _instant(as_of))
     keep = ["user_id", *short_list.columns, "ts"]
-    return _project(_matched(groups, out, store), keep, names)
+    return project_features(_matched(groups, out, store), keep, names)
 
 
 def _instant(as_of: Column | datetime) -> Column:

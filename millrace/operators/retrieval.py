@@ -2,76 +2,14 @@
 
 from __future__ import annotations
 
-import sys
-
-import numpy as np
-import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions.expressions import within_size
+from millrace.operators.blocks import ITEM_BLOCK, search
 from millrace.operators.popularity import number_short_list
 from millrace.schema import POOL_SIZE
 
-# Rows of one block: bounds a task's memory whatever the number of users or items.
-MAX_USER_BLOCK = 32768
-MIN_USER_BLOCK = 256
-ITEM_BLOCK = 32768
-_SCORED_ROWS = 256  # users scored at a time inside a block
-
-# Workers get the block functions by value, so they need no copy of this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-_SCHEMA = "user_id string, business_id string, score double, rank int"
-
-
-def _matrix(table: pa.Table) -> np.ndarray:
-    values = table.column("value").combine_chunks()
-    flat = values.flatten().to_numpy(zero_copy_only=False)
-    return flat.astype(np.float64).reshape(len(values), -1)
-
-
-def _best(scores: np.ndarray, keep: int) -> np.ndarray:
-    """Positions of the `keep` best scores per row, best first, earlier position on ties."""
-    n = scores.shape[1]
-    if keep < n:
-        # Everything at or above the row's keep-th score, then the exact order of those.
-        cut = -np.partition(-scores, keep - 1, axis=1)[:, keep - 1 : keep]
-        scores = np.where(scores >= cut, scores, -np.inf)
-    above = int(np.isfinite(scores).sum(axis=1).max()) if keep < n else n
-    if above > 4 * keep or above == n:
-        return np.argsort(-scores, axis=1, kind="stable")[:, :keep]
-    picked = np.argpartition(-scores, above - 1, axis=1)[:, :above]
-    picked.sort(axis=1)  # back to position order, so the stable sort breaks ties by it
-    order = np.argsort(-np.take_along_axis(scores, picked, axis=1), axis=1, kind="stable")
-    return np.take_along_axis(picked, order[:, :keep], axis=1)
-
-
-def _block_top(users: pa.Table, items: pa.Table, k: int) -> pa.Table:
-    """The k best items of one item block for every user of one user block."""
-    items = items.sort_by("business_id")  # position order is then the id tie-break
-    # Equal vectors are scored once: the last bits of a matrix product may depend on where a
-    # column stands, and equal items must tie exactly.
-    distinct, place = np.unique(_matrix(items), axis=0, return_inverse=True)
-    left, right, place = _matrix(users), distinct.T, place.reshape(-1)
-    keep = min(k, len(place))
-    best, found = [], []
-    for start in range(0, len(left), _SCORED_ROWS):
-        scores = (left[start : start + _SCORED_ROWS] @ right)[:, place] + 0.0
-        top = _best(scores, keep)
-        best.append(top.ravel())
-        found.append(np.take_along_axis(scores, top, axis=1).ravel())
-    return pa.table(
-        {
-            "user_id": users.column("user_id").take(np.repeat(np.arange(len(left)), keep)),
-            "business_id": items.column("business_id").take(np.concatenate(best)),
-            "score": np.concatenate(found),
-            "rank": np.tile(np.arange(1, keep + 1, dtype=np.int32), len(left)),
-        }
-    )
-
 
 def exact_topk(
     users: DataFrame,
@@ -79,49 +17,10 @@ def exact_topk(
     k: int = POOL_SIZE,
     item_block: int = ITEM_BLOCK,
 ) -> DataFrame:
-    """(user_id, business_id, score, rank): full-catalog inner product, id breaks ties.
-
-    A blocked matrix product: users and items are hashed into blocks of bounded size,
-    each pair of blocks is one group scored with numpy, and only its k best items per
-    user leave the task. Neither side is ever held whole by one task, and no user-item
-    pair is materialised as a row. Both sides are counted first: a catalog of one block
-    needs no merge, a larger one is merged by a second, pushed-down top-k.
-    """
+    """(user_id, business_id, score, rank): full-catalog inner product, id breaks ties."""
     if k < 1:
         raise ValueError("k must be at least 1")
-    n_users, n_items = users.count(), items.count()
-    # A few groups per core, within the memory bound.
-    wanted = -(-n_users // (2 * users.sparkSession.sparkContext.defaultParallelism))
-    user_block = min(MAX_USER_BLOCK, max(MIN_USER_BLOCK, wanted))
-    user_blocks = max(1, -(-n_users // user_block))
-    item_blocks = max(1, -(-n_items // item_block))
-    left = users.select(
-        "user_id",
-        "value",
-        F.pmod(F.xxhash64("user_id"), F.lit(user_blocks)).cast("int").alias("ub"),
-        F.explode(F.sequence(F.lit(0), F.lit(item_blocks - 1))).alias("ib"),
-    )
-    right = items.select(
-        "business_id",
-        "value",
-        F.pmod(F.xxhash64("business_id"), F.lit(item_blocks)).cast("int").alias("ib"),
-        F.explode(F.sequence(F.lit(0), F.lit(user_blocks - 1))).alias("ub"),
-    )
-
-    def score(left_rows: pa.Table, right_rows: pa.Table) -> pa.Table:
-        if not len(left_rows) or not len(right_rows):
-            empty = {"user_id": pa.string(), "business_id": pa.string()}
-            empty.update(score=pa.float64(), rank=pa.int32())
-            return pa.table({n: pa.array([], t) for n, t in empty.items()})
-        return _block_top(left_rows, right_rows, k)
-
-    partial = (
-        left.groupBy("ub", "ib").cogroup(right.groupBy("ub", "ib")).applyInArrow(score, _SCHEMA)
-    )
-    if item_blocks == 1:
-        return partial
-    best = W.partitionBy("user_id").orderBy(F.desc("score"), "business_id")
-    return partial.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return search(users.select("user_id", "value"), items.select("business_id", "value"), k, item_block)
 
 
 def popularity_head(ranked_counts: DataFrame, size: int = POOL_SIZE) -> DataFrame:

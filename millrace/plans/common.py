@@ -28,7 +28,7 @@ def fractional(names: Sequence[str] | None = None) -> list[str]:
 
 def full_store(spark: SparkSession, sf_dir: str) -> Store:
     """Every timeline, materialised before it is read: the reads use each group several
-    times and rely on its written order and size."""
+    times and rely on its size. Vector states are tables as they are."""
     return stored(
         build_store(
             materialized(tables.events(spark, sf_dir), "events"),
@@ -43,7 +43,7 @@ def stored(store: Store) -> Store:
     groups = {
         f.name: getattr(store, f.name)
         for f in fields(store)
-        if f.name not in ("dim", "vector_width")
+        if f.name not in ("dim", "user_als", "item_als", "vector_width")
     }
     return replace(
         store,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import datetime
 from functools import reduce
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.expressions import dot
 from millrace.functions.registry import feature_names
-from millrace.operators import als, evaluation, ledger, ranking, rerank, retrieval, slo, tower
+from millrace.operators import als, evaluation, ledger, models, ranking, rerank, retrieval, slo, tower
 from millrace.operators import interactions as ix
 from millrace.operators import popularity as pop
 from millrace.operators import training as tr
@@ -29,7 +30,7 @@ from millrace.plans.oracle_base import (
     with_relations,
 )
 from millrace.schema import POOL_SIZE, SLICE_YEARS, SPLIT_T, TOP_K, VALIDATION_START
-from millrace.session import materialized
+from millrace.session import materialized, scratch
 from millrace.sources import tables
 
 QUERIES: dict[str, Query] = {}
@@ -219,10 +220,21 @@ def _lists(spark, sf, users):
     return materialized(lists, "lists")
 
 
+def _scored(spark, sf):
+    return ranking.score_retrieved(
+        _truth(spark, sf).select("user_id").distinct(),
+        tables.user_embedding(spark, sf),
+        tables.item_embedding(spark, sf),
+        _head(spark, sf),
+        split_store(spark, sf),
+        SPLIT_T,
+        FIXED_SCORER,
+    )
+
+
 def _ordered(spark, sf):
-    pools = _lists(spark, sf, _truth(spark, sf).select("user_id").distinct())
-    ranking.require_equal_pools(pools)
-    return ranking.score_personal_pool(pools, split_store(spark, sf), SPLIT_T, FIXED_SCORER)
+    scored = _scored(spark, sf).select("user_id", "business_id", "pool_rank", "score")
+    return ranking.rank_candidates(scored)
 
 
 def _shown(df):
@@ -231,9 +243,7 @@ def _shown(df):
 
 
 def _rerank_inputs(spark, sf):
-    return rerank.rerank_inputs(
-        _ordered(spark, sf), tables.dim(spark, sf), _reviewed(spark, sf)
-    )
+    return rerank.served_inputs(_scored(spark, sf), _reviewed(spark, sf)).drop("cold")
 
 
 def _evaluated(spark, sf):
@@ -321,6 +331,31 @@ def als_slices(spark, sf):
     )
 
 
+@register(
+    "als_slices_contract",
+    with_relations(
+        """
+SELECT 'user' AS side, user_id AS id, make_timestamp(y, 1, 1, 0, 0, 0) AS ts, 64 AS width, false AS zero
+FROM years JOIN (SELECT user_id, min(ts) AS first FROM ev SEMI JOIN dm USING (business_id) GROUP BY user_id)
+  ON first < make_timestamp(y, 1, 1, 0, 0, 0)
+UNION ALL
+SELECT 'item', d.business_id, make_timestamp(y, 1, 1, 0, 0, 0), 64, first IS NULL OR first >= make_timestamp(y, 1, 1, 0, 0, 0)
+FROM years CROSS JOIN dm d LEFT JOIN (SELECT business_id, min(ts) AS first FROM ev GROUP BY business_id) USING (business_id)
+WHERE make_timestamp(y, 1, 1, 0, 0, 0) > (SELECT min(ts) FROM ev SEMI JOIN dm USING (business_id))"""
+    ),
+)
+def als_slices_contract(spark, sf):
+    """Who has a vector at which boundary, its width, and that exactly the items without an earlier
+    review are zero."""
+    return als_slices(spark, sf).select(
+        "side",
+        "id",
+        "ts",
+        F.size("value").alias("width"),
+        F.forall("value", lambda x: x == 0).alias("zero"),
+    )
+
+
 @register(
     "exact_topk",
     with_relations("SELECT user_id, business_id, round(score, 9) + 0.0 AS score, rank FROM topk", TOPK),
@@ -708,6 +743,73 @@ def train_ranking_model(spark, sf):
     )
 
 
+@register(
+    "train_ranker_contract",
+    " UNION ALL ".join(f"SELECT '{n}' AS feature, true AS finite, true AS learned" for n in FEATURE_SQL),
+)
+def train_ranker_contract(spark, sf):
+    """What the fitted ranker promises whatever its numbers: a finite weight for every feature and
+    a validation NDCG above that of popularity."""
+    finite = F.col("weight").isNotNull() & ~F.isnan("weight") & (F.abs("weight") < float("inf"))
+    return train_ranking_model(spark, sf).select(
+        "feature", finite.alias("finite"), (F.col("validation_ndcg") > F.col("popularity_ndcg")).alias("learned")
+    )
+
+
+@register(
+    "stored_models",
+    with_relations(
+        """
+SELECT name, metric, n_users, true AS in_range, 'NEW' AS first_run, 'OK' AS second_run, 1::BIGINT AS versions
+FROM (SELECT unnest(['factor order', 'ranked order']) AS name)
+CROSS JOIN (SELECT unnest(['recall@10', 'recall@50', 'ndcg@10']) AS metric)
+CROSS JOIN (SELECT count(DISTINCT user_id) AS n_users FROM truth)"""
+    ),
+)
+def stored_models(spark, sf):
+    """Factors and a ranker are fitted, stored and loaded; the holdout is scored with what was
+    loaded, the order of the factors against that of the ranker, and the report goes to the ledger
+    twice: new, then unchanged."""
+    root = scratch(spark, "models")
+    users, items = als.fit_factors(_pairs(spark, sf), tables.dim(spark, sf))
+    models.store_factors(root, users, items, SPLIT_T)
+    models.store_ranker(spark, root, train_ranker(_training(spark, sf), VALIDATION_START, SPLIT_T), SPLIT_T)
+    loaded, learned = models.factors(spark, root), models.ranker(spark, root)
+    truth = materialized(_truth(spark, sf), "truth")
+    store = split_store(spark, sf)
+    store = replace(store, user_als=_as_of_split(loaded.users), item_als=_as_of_split(loaded.items))
+    scored = materialized(
+        ranking.score_retrieved(
+            truth.select("user_id").distinct(), loaded.users, loaded.items, _head(spark, sf), store, SPLIT_T, learned.scorer
+        ),
+        "scored",
+    )
+    by_factors = scored.withColumn("rank", F.col("pool_rank"))
+    by_ranker = ranking.rank_candidates(scored)
+    hits = evaluation.named_hits(
+        {
+            "factor order": evaluation.list_hits(by_factors, truth),
+            "ranked order": evaluation.list_hits(by_ranker, truth),
+        }
+    )
+    report = materialized(evaluation.evaluate(hits, truth, ["factor order", "ranked order"], (10, 50)), "report")
+    first, _ = ledger.check(spark, root, report)
+    runs = {"first_run": materialized(first, "first")}
+    second, _ = ledger.check(spark, root, report)
+    runs["second_run"] = second
+    recorded = ledger.history(spark, root).groupBy("name").agg(F.min("version").alias("versions"))
+    out = report.select("name", "metric", "n_users", F.col("value").between(0, 1).alias("in_range"))
+    for column, run in runs.items():
+        out = out.join(run.select("name", "metric", F.col("status").alias(column)), ["name", "metric"])
+    return out.join(recorded, "name").select(
+        "name", "metric", "n_users", "in_range", "first_run", "second_run", "versions"
+    )
+
+
+def _as_of_split(vectors):
+    return vectors.withColumn("ts", F.lit(SPLIT_T.isoformat(" ")).cast("timestamp_ntz"))
+
+
 # --- ranking and rerank -----------------------------------------------------------
 
 
@@ -779,7 +881,7 @@ def rerank_inputs(spark, sf):
     ),
 )
 def rerank_lists(spark, sf):
-    out = rerank.rerank(_rerank_inputs(spark, sf), TOP_K)
+    out = rerank.rerank(_rerank_inputs(spark, sf), TOP_K, dealt=True)
     return out.select("user_id", "business_id", "previous_rank", "rank")
 
 
@@ -820,7 +922,7 @@ USING (metric)""",
 )
 def rerank_ablation(spark, sf):
     truth = materialized(_truth(spark, sf), "truth")
-    lists = rerank.rerank_variants(_rerank_inputs(spark, sf), 50, rerank.ABLATION)
+    lists = rerank.rerank_variants(_rerank_inputs(spark, sf), 50, rerank.ABLATION, dealt=True)
     hits = evaluation.list_hits(
         lists.withColumnRenamed("variant", "name"), truth, ["name"]
     )
