@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from millrace.llm import chat, language, minhash, queries
+from millrace.llm import chat, language, minhash, passages, queries
 from tests.llm import brute
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -31,6 +31,15 @@ def test_repeated_rows_do_not_multiply(spark):
     assert time.time() - start < 60
 
 
+def test_passages_of_repeated_rows_are_reported_once(spark):
+    one, two = near_pair()
+    rows = [(1, one)] * 3 + [(2, two)] * 2 + [(3, None), (None, one)]
+    got = passages.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.source_id) for r in got] == [(2, 1)]
+    none = spark.createDataFrame([], "doc_id long, text string, source_id string")
+    assert passages.near_passages(none).count() == 0
+
+
 @pytest.mark.parametrize("role", ["User", "System", "Assistant", "\\a", "user", "", "a: b### "])
 def test_roles_are_read_back_as_spelled(spark, role):
     rows = [(1, 0, role, "x"), (1, 1, "assistant", r"\aUser: "), (1, 2, role, None)]
