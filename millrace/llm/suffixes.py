@@ -207,35 +207,68 @@ def least_docs(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray) -> tuple
             n += len(heads)
     first_doc, begin, windows = (np.concatenate(x) for x in (first_doc, begin, windows))
     first = np.cumsum(windows) - windows
-    total = int(windows.sum())
-    parts = max(1, -(-total * LENGTH // SORTED_BYTES))
-    part = np.empty(total, dtype=np.int32)
-    for k in range(0, len(begin), 1 << 14):
-        at, _ = expand(begin[k : k + (1 << 14)], windows[k : k + (1 << 14)])
-        part[first[k] : first[k] + len(at)] = lead_class(lead, at, parts)
-    out = np.empty(total, dtype=np.int64)
+    out = np.repeat(first_doc, windows)
+    # A window whose hash no other window has equals none; the others are sorted.
+    twins = with_twins(window_hashes(data, begin, windows))
+    owner = np.searchsorted(first, twins, side="right") - 1
+    at = begin[owner] + twins - first[owner]
+    parts = max(1, -(-len(twins) * LENGTH // SORTED_BYTES))
+    part = lead_class(lead, at, parts)
     for k in range(parts):
         own = np.flatnonzero(part == k)
         if len(own):
-            owner = np.searchsorted(first, own, side="right") - 1
-            order, equal = sorted_strings(data, begin[owner] + own - first[owner], np.full(len(own), LENGTH))
-            least = np.minimum.reduceat(first_doc[owner[order]], np.flatnonzero(~equal))
-            out[own[order]] = least[np.cumsum(~equal) - 1]
+            order, equal = sorted_strings(data, at[own], np.full(len(own), LENGTH))
+            least = np.minimum.reduceat(first_doc[owner[own[order]]], np.flatnonzero(~equal))
+            out[twins[own[order]]] = least[np.cumsum(~equal) - 1]
     return group, first, out
 
 
+def window_hashes(data: np.ndarray, begin: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """Hash of every window of the strings at `begin`, from prefix hashes of each string."""
+    out, done = np.empty(int(windows.sum()), dtype=np.uint64), 0
+    _, down = tx.powers(int(windows.max(initial=0)) + 1)
+    for k in range(0, len(begin), 1 << 14):
+        count = windows[k : k + (1 << 14)]
+        at, _ = expand(begin[k : k + (1 << 14)], count + LENGTH - 1)
+        offsets = np.concatenate([[0], np.cumsum(count + LENGTH - 1)])
+        prefix = string_prefixes(data[at], offsets)
+        start, _ = expand(offsets[:-1], count)
+        local, _ = expand(np.zeros(len(count), dtype=np.int64), count)
+        out[done : done + len(start)] = (prefix[start + LENGTH] - prefix[start]) * down[local]
+        done += len(start)
+    return out
+
+
+def with_twins(hashes: np.ndarray) -> np.ndarray:
+    """Places of the values that occur more than once, ascending."""
+    ranked = np.sort(hashes)
+    twice = np.unique(ranked[1:][ranked[1:] == ranked[:-1]])
+    if not len(twice):
+        return np.zeros(0, dtype=np.int64)
+    at = np.searchsorted(twice, hashes)
+    at[at == len(twice)] = 0
+    return np.flatnonzero(twice[at] == hashes)
+
+
 def lead_class(lead: np.ndarray, at: np.ndarray, parts: int) -> np.ndarray:
     return (lead[at].astype(np.uint64) * tx._BASE >> np.uint64(32)) % np.uint64(parts)
 
 
 def sorted_strings(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """suffix_order of strings on a copy of their bytes."""
+    """Strings in an order in which equal ones are neighbours, and whether each equals the one before:
+    suffix_order on a copy of the bytes of those that may equal another."""
     at, _ = expand(start, length)
     own = data[at]
     del at
     offsets = np.concatenate([[0], np.cumsum(length)])
     prefix = string_prefixes(own, offsets)
-    return suffix_order(own, prefix, offsets[:-1], length, np.ones(len(length), dtype=np.uint64))
+    # A string whose hash no other has equals none: it goes to the end, unsorted.
+    twins = with_twins(prefix[offsets[1:]] - prefix[offsets[:-1]])
+    order, equal = suffix_order(own, prefix, offsets[twins], length[twins], np.ones(len(twins), dtype=np.uint64))
+    single = np.ones(len(length), dtype=bool)
+    single[twins] = False
+    single = np.flatnonzero(single)
+    return np.concatenate([twins[order], single]), np.concatenate([equal, np.zeros(len(single), dtype=bool)])
 
 
 # Parts: documents packed for repeated reading
@@ -317,11 +350,23 @@ class Part:
         self.start, self.count, self.value, self.owner = (
             x[own] for x in (self.start, self.count, self.value, self.owner)
         )
-        key = tx.range_hashes(self.prefix, self.start, self.start + self.count + LENGTH - 1)
-        order = np.lexsort((key, self.value))
-        fresh = np.ones(len(order), dtype=bool)
-        fresh[1:] = (key[order][1:] != key[order][:-1]) | (self.value[order][1:] != self.value[order][:-1])
-        heads = np.flatnonzero(fresh)
+        length = self.count + LENGTH - 1
+        key = tx.range_hashes(self.prefix, self.start, self.start + length)
+        while True:
+            order = np.lexsort((key, self.value))
+            fresh = np.ones(len(order), dtype=bool)
+            fresh[1:] = (key[order][1:] != key[order][:-1]) | (self.value[order][1:] != self.value[order][:-1])
+            heads = np.flatnonzero(fresh)
+            # Runs are one string if their bytes are equal, not just their hashes.
+            head = order[heads][np.cumsum(fresh) - 1]
+            other = order != head
+            one, two = order[other], head[other]
+            same = length[one] == length[two]
+            same[same] = same_bytes(self.data, self.start[one[same]], self.start[two[same]], length[one[same]])
+            if same.all():
+                break
+            apart = np.isin(self.value, self.value[one[~same]])
+            key[apart] = np.flatnonzero(apart)
         self.string = np.empty(len(order), dtype=np.int64)
         self.string[order] = np.cumsum(fresh) - 1
         self.sample = order[heads]  # a run of each string, strings ascending by anchor
