@@ -214,6 +214,31 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP9_SQL = """
+WITH docs AS MATERIALIZED (
+  SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents
+), starts AS (
+  SELECT doc_id, i, b[i + 1:i + 50] AS w FROM (SELECT doc_id, b, unnest(range(0, octet_length(b) - 49)) AS i FROM docs WHERE octet_length(b) >= 50)
+), repeated AS MATERIALIZED (
+  SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY w) AS first FROM starts) WHERE first < doc_id
+), spans AS MATERIALIZED (
+  SELECT doc_id, min(i) AS lo, max(i) + 50 AS hi FROM (
+    SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM (
+      SELECT doc_id, i, (i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -100) + 50)::INT AS fresh FROM repeated))
+  GROUP BY doc_id, k
+), kept AS (
+  SELECT doc_id, string_agg(hex(b[from_ + 1:to_]), '' ORDER BY from_) AS h FROM (
+    SELECT s.doc_id, b, coalesce(lag(hi) OVER (PARTITION BY s.doc_id ORDER BY lo), 0) AS from_, lo AS to_ FROM spans s JOIN docs USING (doc_id)
+    UNION ALL
+    SELECT doc_id, b, hi, octet_length(b) FROM (SELECT doc_id, max(hi) AS hi FROM spans GROUP BY doc_id) JOIN docs USING (doc_id))
+  WHERE from_ < to_ GROUP BY doc_id
+), sums AS (SELECT doc_id, sum(hi - lo) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(CASE WHEN n_spans IS NULL THEN b ELSE unhex(coalesce(h, '')) END) AS kept_sha256
+FROM docs LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2
@@ -267,6 +292,7 @@ ANSWERS = {
     "op4_near_vectors": OP4_SQL,
     "op5_chat_format": OP5_SQL,
     "op8_decontaminate": OP8_SQL,
+    "op9_suffix_dedup": OP9_SQL,
     "op11_mixing": mixing.MIX_SQL,
     "op12_fill_in_middle": infill.INFILL_SQL,
     "op13_collocations": collocations.PHRASES_SQL,
