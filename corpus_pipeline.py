@@ -32,11 +32,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each near-duplicate group, that with the least id (null ids last).
 
-    Rows are judged by themselves, whatever id they have: each gets its position in the order of
-    ids as its key, so rows that share an id stay if their texts differ, and go if they repeat.
-    Rows without words stay."""
-    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.xxhash64("lang", "source", "n_chars")]
-    rows = in_order(docs.select(*COLUMNS), order, "row")
+    Rows are judged by themselves, whatever id they have: rows that share an id stay if their texts
+    differ, and go if they repeat. Ids that are all there and distinct are the rows' keys; else a
+    row's key is its position in the order of ids, for which the texts are moved once more. Rows
+    without words stay."""
+    docs = docs.select(*COLUMNS)
+    if docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty():
+        rows = docs.withColumn("row", F.col("doc_id"))
+    else:
+        order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.xxhash64("lang", "source", "n_chars")]
+        rows = in_order(docs, order, "row")
     dropped = minhash.near_duplicates(rows, doc_id="row").filter("not kept").select(F.col("doc_id").alias("row"))
     return rows.join(dropped, "row", "left_anti").select(*COLUMNS)
 

@@ -239,7 +239,7 @@ def _ordered(spark, sf):
 
 def _shown(df):
     """Scores at the precision that answers are compared at; ranks come from the full ones."""
-    return df.withColumn("score", F.round("score", 9) + F.lit(0.0))
+    return df.withColumn("score", F.round("score", 6) + F.lit(0.0))
 
 
 def _rerank_inputs(spark, sf):
@@ -358,7 +358,7 @@ def als_slices_contract(spark, sf):
 
 @register(
     "exact_topk",
-    with_relations("SELECT user_id, business_id, round(score, 9) + 0.0 AS score, rank FROM topk", TOPK),
+    with_relations("SELECT user_id, business_id, round(score, 6) + 0.0 AS score, rank FROM topk", TOPK),
 )
 def exact_topk(spark, sf):
     return _shown(_topk(spark, sf))
@@ -367,7 +367,7 @@ def exact_topk(spark, sf):
 @register(
     "retrieve",
     with_relations(
-        "SELECT user_id, business_id, round(score, 9) + 0.0 AS score, rank, cold FROM retrieved",
+        "SELECT user_id, business_id, round(score, 6) + 0.0 AS score, rank, cold FROM retrieved",
         TOPK,
         HEAD,
         RETRIEVED,
@@ -816,7 +816,7 @@ def _as_of_split(vectors):
 @register(
     "score_shared_pool",
     with_relations(
-        "SELECT user_id, business_id, pool_rank, round(score, 9) + 0.0 AS score, rank FROM ordered",
+        "SELECT user_id, business_id, pool_rank, round(score, 6) + 0.0 AS score, rank FROM ordered",
         HEAD,
         EVAL_USERS,
         SHARED,
@@ -836,7 +836,7 @@ def score_shared_pool(spark, sf):
 @register(
     "score_personal_pool",
     with_relations(
-        "SELECT user_id, business_id, pool_rank, round(score, 9) + 0.0 AS score, rank FROM ordered",
+        "SELECT user_id, business_id, pool_rank, round(score, 6) + 0.0 AS score, rank FROM ordered",
         *ORDERED,
     ),
 )
@@ -864,7 +864,7 @@ def ordering_resolution(spark, sf):
     "rerank_inputs",
     with_relations(
         """
-SELECT user_id, business_id, pool_rank, round(score, 9) + 0.0 AS score, rank, is_open,
+SELECT user_id, business_id, pool_rank, round(score, 6) + 0.0 AS score, rank, is_open,
        primary_category, repeat FROM inputs""",
         *ORDERED,
         INPUTS,
@@ -975,7 +975,7 @@ def closed_target_share(spark, sf):
     "recommend_batch",
     with_relations(
         """
-SELECT user_id, rank, business_id, name, pre_t_reviews, round(score, 9) + 0.0 AS score,
+SELECT user_id, rank, business_id, name, pre_t_reviews, round(score, 6) + 0.0 AS score,
        10 AS requested_k, count(business_id) OVER (PARTITION BY user_id) AS returned_k,
        10 - count(business_id) OVER (PARTITION BY user_id) AS shortfall
 FROM (SELECT 'u' || c_custkey AS user_id FROM customer)
@@ -1021,7 +1021,7 @@ def recommend_batch(spark, sf):
     "recommend_popularity",
     with_relations(
         """
-SELECT user_id, rank, business_id, name, pre_t_reviews, round(score, 9) + 0.0 AS score,
+SELECT user_id, rank, business_id, name, pre_t_reviews, round(score, 6) + 0.0 AS score,
        10 AS requested_k, count(business_id) OVER (PARTITION BY user_id) AS returned_k,
        10 - count(business_id) OVER (PARTITION BY user_id) AS shortfall
 FROM (SELECT 'u' || c_custkey AS user_id FROM customer)
