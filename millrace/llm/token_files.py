@@ -40,6 +40,7 @@ BLOCKS = (
 
 _IRREGULAR = re.compile(r"\s | \s")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
+_MARKS = ".,;:!?"
 _encoders: dict[str, Encoder] = {}
 
 
@@ -48,7 +49,8 @@ class Encoder:
 
     A byte-level tokenizer never joins the two sides of a single space between visible characters:
     the space opens the next token. Texts are cut there, so equal words share their ids. New words
-    are encoded together as one text and told apart by the tokens that open with a space.
+    are encoded together as one text and told apart by the tokens that open with a space. Where
+    it does not join a letter and the punctuation mark after it, a word that ends so is its two parts.
     """
 
     def __init__(self, path: str):
@@ -62,6 +64,8 @@ class Encoder:
         self.opens = np.zeros(size, dtype=bool)
         for token, at in self.tokenizer.get_vocab().items():
             self.opens[at] = token.startswith("Ġ")
+        cut = self.tokenizer.pre_tokenizer
+        self.marks = frozenset(m for m in _MARKS if cut and cut.pre_tokenize_str("a" + m)[0][1] == (0, 1))
         self.known = Recent(CACHED_WORDS)
 
     @classmethod
@@ -78,8 +82,10 @@ class Encoder:
 
     def _learn(self, words: list[str]) -> None:
         known = self.known.young
+        marked = [w for w in words if len(w) > 2 and w[-1] in self.marks and w[-2].isalpha()]
+        parts = {w[:-1] for w in marked} | {w[-1] for w in marked}
         plain, odd = [], []
-        for w in words:
+        for w in parts.difference(known).union(words).difference(marked):
             easy = len(w) > 1 and w[0] == " " and w.count(" ") == 1 and not w[1].isspace() and not w[-1].isspace()
             (plain if easy else odd).append(w)
         for w, ids in zip(odd, self._raw(odd), strict=True):
@@ -93,6 +99,8 @@ class Encoder:
             raw, cuts = ids.tobytes(), (cuts * self.width).tolist()
             for w, a, b in zip(part, cuts, cuts[1:], strict=False):
                 known[w] = raw[a:b]
+        for w in marked:
+            known[w] = known[w[:-1]] + known[w[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [
