@@ -29,7 +29,7 @@ DICTIONARY_DOCS = 1000
 DICTIONARY_DOC_BYTES = 16 << 10
 BLOCK_BYTES = 1 << 20
 BLOCK_DOCS = 4096
-LEVEL = 3
+LEVEL = 2
 #: Words of each of two generations that a worker remembers.
 CACHED_WORDS = 400_000
 
